@@ -38,6 +38,7 @@ class Model:
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
         self.pieces = [None if i in special else sp.id_to_piece(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if p}
+        self.singles = frozenset(p for p in self.ids if len(p) == 1)
         #: Merges happen in the order of score, highest first, then from the left.
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self._check(sp, special)
@@ -45,7 +46,7 @@ class Model:
         for b, i in enumerate(self.byte_ids):
             surface[i] = bytes([b])
         self.surface = surface
-        self.units = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
+        self.units = self._units()
         self.code = [i.to_bytes(4, "little") for i in range(n)]
         self.unit_ids = _UnitCache(self.encode_unit, cached_units)
         self._pairs: dict[int, bool] = {}
@@ -63,6 +64,13 @@ class Model:
             if sp.decode(sp.encode(probe)) != probe or sp.encode(probe, out_type=str)[0][:1] != SPACE_MARK:
                 raise ValueError("the model normalises texts or adds no space before them")
 
+    def _units(self) -> re.Pattern:
+        """A unit also ends with its letters, unless what follows is joined to a letter in some piece."""
+        letter, other = r"[^\W\d_]", rf"(?:[^{SPACE_MARK}\n\w]|[\d_])"
+        joined = sorted({b for p in self.ids for a, b in zip(p, p[1:]) if re.match(letter, a) and not re.match(letter, b)})
+        ends = f"(?![{re.escape(''.join(joined))}])" if joined else ""
+        return re.compile(f"{SPACE_MARK}*+{letter}++{ends}|\n|{SPACE_MARK}*+{other}++{letter}*+{ends}|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
+
     @cached_property
     def automaton(self):
         found = ahocorasick.Automaton()
@@ -106,18 +114,22 @@ class Model:
     def encode_unit(self, unit: str) -> bytes:
         """Ids of one unit as little-endian unsigned 32-bit integers."""
         ids = self.ids
-        last = [-1] * (len(unit) + 1)  # -1: none yet; -2: the prefix ends in a character that is no piece
-        for k, c in enumerate(unit):
-            if c not in ids:
-                last[k + 1] = -2
-        compatible = self.compatible
+        last = [-1] * (len(unit) + 1)  # -1: none yet; -2: a token may start here whatever came before
+        last[0] = -2
+        if not self.singles.issuperset(unit):
+            for k, c in enumerate(unit):
+                if c not in ids:  # written as bytes, and no merge reaches over it
+                    last[k + 1] = -2
+        pairs, size = self._pairs, len(self.pieces)
         for end, (length, token) in self.automaton.iter(unit):
-            start = end + 1 - length
-            before = last[start]
-            if start == 0 or before == -2:
-                if self.reachable(token):
+            before = last[end + 1 - length]
+            if before == -1 or last[end + 1] != -1:
+                continue
+            if before >= 0:
+                known = pairs.get(before * size + token)
+                if self.compatible(before, token) if known is None else known:
                     last[end + 1] = token
-            elif before >= 0 and compatible(before, token):
+            elif self.reachable(token):
                 last[end + 1] = token
         out, at = [], len(unit)
         while at:
