@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, token_counts
-from .common import table
+from . import chat_format, sentencepiece_codec, token_counts, url_filter
+from .common import one_line, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -18,6 +19,69 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    back = chat_format.read_back(chat_format.whole(chat_format.expand(turns)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("replies", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+        F.col("n_examples").cast("long").alias("n_examples"),
+    )
+
+
+OP1_SQL = r"""
+with extra as (select * from (values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')) v(conv_id, turn, role, text)),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select * from extra)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(25 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')))::bigint - count(*) as formatted_chars,
+  count(*) filter (where role = 'assistant') as n_examples
+from t group by conv_id
+"""
+
+#: (action, host/path) of the page filter.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+URL_LIMIT, URL_STRENGTH, URL_Z = 0.3, 10.0, 1.0
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels row with a page's id as doc_id labels the page, bad when of low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+    outcomes = pages.join(labels, "page_id").select(url_filter.host_of(F.col("url")).alias("host"), "bad")
+    return url_filter.judge(pages, outcomes, URL_RULES, URL_LIMIT, strength=URL_STRENGTH, z=URL_Z)
+
+
+OP3_SQL = r"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
+h as (select host, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from p join labels l on l.doc_id = p.page_id group by host),
+h2 as (select *, case when regexp_matches(host, '(^|[.])(ac|co|com|edu|gov|net|org)[.][a-z]{2}$') then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else string_split(host, '.')[-1] end as suffix from h),
+h3 as (select *, array_to_string(list_slice(string_split(host, '.'), -(len(string_split(suffix, '.')) + 1), -1), '.') as domain from h2),
+d as (select domain, suffix, sum(n) as dn, sum(bad) as db from h3 group by domain, suffix),
+s as (select suffix, sum(dn) as sn, sum(db) as sb from d group by suffix),
+w as (select (sum(sb) + 0.5) / (sum(sn) + 1.0) as base from s),
+sm as (select suffix, (sb + 10.0 * base) / (sn + 10.0) as sm from s, w),
+dm as (select d.domain, d.suffix, (db + 10.0 * sm) / (dn + 10.0) as dm from d join sm using (suffix)),
+ab as (select host, bad + 10.0 * dm as a, n - bad + 10.0 * (1 - dm) as b from h3 join dm using (domain, suffix)),
+r as (select host, (a / (a + b) - 1.0 * sqrt((a / (a + b)) * (1 - a / (a + b)) / (a + b + 1)))::double as bound from ab),
+u(action, domain, start, rule) as (values ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/en/', 'www.example.com/en/'), ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')),
+m as (select page_id, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action from p join u on (host = domain or ends_with(host, '.' || domain)) and starts_with(path, start) group by page_id)
+select p.page_id, p.host, p.path, m.rule, coalesce(m.action, case when r.bound > 0.3 then 'block' else 'allow' end) as verdict, round(r.bound, 6) as bound
+from p left join r using (host) left join m using (page_id)
+"""
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), model_path())
 
@@ -27,7 +91,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_url_filter": op3_url_filter,
     "op6_token_counts": op6_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {name: one_line(sql) for name, sql in {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL}.items()}
