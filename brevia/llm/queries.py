@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, sentencepiece_codec, token_counts, url_filter
-from .common import one_line, table
+from . import chat_format, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from .common import one_line, saved, table
 
 MODEL = "piece_bpe_32k.model"
 
@@ -90,10 +90,35 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_path())
 
 
+def learning_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that learning may read: those that are not held out."""
+    return table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_classifier.fit(docs, learning_labels(spark, sf_dir))
+    scored = quality_classifier.score(docs, weights)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = saved(quality_rules.statistics(table(spark, sf_dir, "documents")))  # a few numbers per document
+    rules = quality_rules.learn(stats, learning_labels(spark, sf_dir))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filter": op3_url_filter,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {name: one_line(sql) for name, sql in {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL}.items()}
