@@ -33,19 +33,31 @@ RATIOS = {
 }
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in WINDOW-word windows that occur twice or more, the first included."""
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda that names an expression would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(words: Column) -> Column:
+    """Hash of the WINDOW words from each word on."""
     n = F.size(words)
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(hashed, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    return windows
+    return F.when(n >= WINDOW, let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(windows: Column) -> Column:
-    """Words covered by the windows whose hash another window has."""
+    """Number of words covered by the windows whose hash another window has, the first included."""
     pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.filter(F.transform(pairs, lambda p, k: F.when((F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"])), lambda i: i.isNotNull())
-    return F.sort_array(same)
+
+    def shared(ps: Column) -> Column:
+        marked = F.transform(ps, lambda p, k: F.when((F.get(ps, k - 1)["h"] == p["h"]) | (F.get(ps, k + 1)["h"] == p["h"]), p["i"]))
+        return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
+
+    def total(at: Column) -> Column:
+        new = F.transform(at, lambda x, k: F.least(F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
+        return F.aggregate(new, F.lit(0), lambda a, x: a + x)
+
+    return let(let(pairs, shared), total)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +69,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col), text.alias("text"))
     rows = rows.withColumn("ws", F.filter(F.split("text", SPACE), lambda w: w != ""))
     rows = rows.withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
-    rows = rows.withColumn("windows", _repeat_words(F.col("ws")))
+    rows = rows.withColumn("windows", _windows(F.col("ws")))
     rows = rows.select(
         id_col,
         F.size("ws").cast("long").alias("n_words"),
@@ -66,10 +78,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size("ls").cast("long").alias("n_lines"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).alias("at"),
+        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    covered = F.aggregate(F.transform("at", lambda x, k: F.least(F.coalesce(F.get("at", k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
+    return rows
 
 
 @dataclass(frozen=True)
