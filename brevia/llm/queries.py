@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import chat_format, line_dedup, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
 from .common import one_line, saved, table
 
 MODEL = "piece_bpe_32k.model"
@@ -106,6 +106,33 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: Share of a source's documents above which a line is boilerplate, and the documents that must hold it at least.
+LINE_RATIO, LINE_LEAST = 0.1, 10
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the documents' sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_LEAST)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+with s as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) as line from s),
+n as (select source, count(*) as pages from documents group by source),
+c as (select source, line, count(*) as c from l group by source, line),
+b as (select source, list(line) as bad from c join n using (source) where c >= 10 and c > 0.1 * pages group by source),
+k as (select doc_id, ls, list_filter(ls, lambda x: not list_contains(coalesce(bad, []), trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) or trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') as kept from s left join b using (source))
+select doc_id, coalesce(len(list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')), 0) as n_lines,
+  coalesce(len(ls) - len(kept), 0) as n_dropped, sha256(array_to_string(kept, chr(10))) as kept_sha256 from k
+"""
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = saved(quality_rules.statistics(table(spark, sf_dir, "documents")))  # a few numbers per document
     rules = quality_rules.learn(stats, learning_labels(spark, sf_dir))
@@ -119,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {name: one_line(sql) for name, sql in {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL}.items()}
+ORACLES: dict[str, str] = {name: one_line(sql) for name, sql in {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_line_dedup": OP7_SQL}.items()}
