@@ -1,6 +1,463 @@
-"""Registered retrieval queries and their DuckDB equivalents."""
+"""Registered retrieval queries, each with its DuckDB equivalent."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brevia.functions import text as T
+from brevia.operators import chunking, dense, fusion, ingest, lexical, session
+from brevia.plans import bindings as on
+from brevia.sources import index_store
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = re.sub(r"[ \t\n]+", " ", sql.replace("\n", " ")).strip()
+        return f
+
+    return put
+
+
+def joined(name: str, sep: str = "|"):
+    return F.array_join(F.col(name), sep).alias(name)
+
+
+# SQL of shared parts. DuckDB's patterns have \p{L} where the engine has \p{IsAlphabetic}.
+def FOLD(t):
+    return f"lower(translate({t}, 'IİΣ', 'ıiσ'))"
+
+
+def WORDS(t):
+    return rf"list_filter(string_split_regex({FOLD(t)}, '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 2 or regexp_matches(w, '^\p{{N}}'))"
+
+
+def TOKENS(t):
+    return f"flatten(list_transform({WORDS(t)}, lambda w: case when length(w) > 5 then [w, left(w, 5)] else [w] end))"
+
+
+WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160)"
+
+
+def CODE(t):
+    up = f"upper(translate({t}, 'ı', 'I'))"
+    pattern = r"'(?:^|[^\p{L}\p{N}])([A-Z]{2})[-_ ]*([0-9]{2,4})(?:[^0-9]|$)'"
+    return (
+        f"case when regexp_extract({up}, {pattern}, 1) <> '' then regexp_extract({up}, {pattern}, 1) || '-' || lpad(regexp_extract({up}, {pattern}, 2), 4, '0') "
+        f"when regexp_matches(trim({t}, {WHITE}), '^[0-9]{{2,4}}$') then 'FR-' || lpad(trim({t}, {WHITE}), 4, '0') end"
+    )
+
+
+def BODY(p):
+    return f"trim(case when instr({p}, chr(10)) > 0 then substr({p}, instr({p}, chr(10)) + 1) else {p} end, {WHITE})"
+
+
+def PERCENT(t, keep):
+    return rf"array_to_string(list_transform(string_split({t}, ''), lambda c: case when regexp_matches(c, '^[{keep}]$') then c else regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') end), '')"
+
+
+DOCS = """docs as (select doc_id as doc, 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') || '.' || lang || '.' || doc_id as id, 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') as code, (doc_id // 400)::int as rev,
+  case when doc_id % 3 = 0 then 'tr' else 'en' end as lang, left(split_part(text, chr(10), 1), 80) as title, ['docx', 'xlsx', 'pdf', 'doc', 'zip'][doc_id % 5 + 1] as ext, text from documents)"""
+ASKED = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || case when item_id % 2 = 0 then '' else ' ' || left(text, 40) end else left(text, 40) end as query from benchmark),
+  coded as (select *, {TOKENS('query')} as tokens, {CODE('query')} as code from asked)"""
+
+
+def FIELD(name, source, unit, text):
+    return f"""{name}_u as (select {unit} as unit, {TOKENS(text)} as tokens from {source}),
+  {name}_tf as (select unit, len(tokens) as len, term, count(*) as tf from (select unit, tokens, unnest(tokens) as term from {name}_u) group by unit, len(tokens), term),
+  {name}_df as (select term, count(*) as df from {name}_tf group by term),
+  {name}_st as (select greatest(count(*), 1) as n, greatest(coalesce(avg(len(tokens)), 1.0), 1.0) as avg_len from {name}_u)"""
+
+
+def RANKED(name):
+    return f"""{name}_s as (select qid, unit, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score from {name}_tf join terms using (term) join {name}_df using (term), {name}_st group by qid, unit),
+  {name}_r as (select qid, unit, score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from {name}_s where score > 0 qualify rank < 200)"""
+
+
+def TERMS(source):
+    return f"terms as (select qid, term, count(*) as qtf from (select qid, unnest(tokens) as term from {source}) group by qid, term)"
+
+
+COVER = """cover as (select m.qid, m.unit, m.c / r.c as coverage from (select qid, unit, count(*) as c from title_tf join terms using (term) group by qid, unit) m
+  join (select qid, count(*) as c from terms join title_df using (term) group by qid) r using (qid))"""
+
+#: Everything of a search up to the fused scores of all candidates.
+SEARCH = f"""with {DOCS}, {ASKED},
+  hits as (select qid, doc from coded join docs using (code)),
+  only as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
+  open_q as (select * from coded where qid not in (select qid from only)),
+  {TERMS('open_q')}, {FIELD('title', 'docs', 'doc', 'title')}, {FIELD('body', 'documents', 'doc_id', 'text')}, {RANKED('title')}, {RANKED('body')}, {COVER},
+  dense_s as (select q.qid, v.vec_id as unit, list_dot_product(v.embedding::double[], e.embedding::double[]) as score from open_q q join embeddings e on e.vec_id = q.qid, embeddings v),
+  dense_r as (select qid, unit, score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from dense_s where unit in (select doc from docs) qualify rank < 200),
+  fused as (select qid, doc, sum(s) as score from (select c.qid, c.unit as doc, 0.2 * coverage * coverage as s from cover c join title_r r on r.qid = c.qid and r.unit = c.unit
+    union all select qid, unit, 1 / (61.0::double + rank) from body_r union all select qid, unit, 1 / (61.0::double + rank) from dense_r) group by qid, doc),
+  every as (select qid, doc, 'infinity'::double as score, 'code' as why from hits union all select qid, doc, score, 'match' from fused f where not exists (select 1 from hits h where h.qid = f.qid and h.doc = f.doc))"""
+
+
+def PAGE(order):
+    return f"{SEARCH}, page as (select qid, doc, score, why, row_number() over (partition by qid order by (why <> 'code')::int, {order} round(score, 9) desc, doc) as position from every join docs using (doc) qualify position <= 25)"
+
+
+SHOWN = "select qid, position, doc, case when why = 'code' then 1.0 else round(score, 6) end as score, why from page"
+
+
+def shown(hits: DataFrame) -> DataFrame:
+    """Page rows with the score that callers see: 1.0 for a code hit."""
+    return hits.select("qid", "position", "doc", F.when(F.col("why") == "code", 1.0).otherwise(F.round("score", 6)).alias("score"), "why")
+
+
+# --- text functions ---
+
+
+@query(f"select doc_id, array_to_string({TOKENS('text')}, '|') as tokens from documents")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), "|").alias("tokens"))
+
+
+@query(f"select distinct word, case when length(word) > 5 then left(word, 5) end as stem from (select unnest({WORDS('text')}) as word from documents)")
+def stem(spark, sf_dir):
+    return on.table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
+
+
+SPELLED = "case doc_id % 5 when 0 then 'form FR-' || lpad((doc_id % 400)::varchar, 4, '0') || ' nerede' when 1 then 'fr ' || (doc_id % 400) when 2 then 'FR_' || (doc_id % 400) || ' ' || left(text, 20) when 3 then 'projefr-' || doc_id else left(text, 60) end"
+
+
+@query(f"select doc_id, {CODE('q')} as code from (select doc_id, {SPELLED} as q from documents)")
+def find_code(spark, sf_dir):
+    d = F.col("doc_id")
+    n = (d % 400).cast("string")
+    q = (
+        F.when(d % 5 == 0, F.concat(F.lit("form FR-"), F.lpad(n, 4, "0"), F.lit(" nerede")))
+        .when(d % 5 == 1, F.concat(F.lit("fr "), n))
+        .when(d % 5 == 2, F.concat(F.lit("FR_"), n, F.lit(" "), F.substring("text", 1, 20)))
+        .when(d % 5 == 3, F.concat(F.lit("projefr-"), d.cast("string")))
+        .otherwise(F.substring("text", 1, 60))
+    )
+    return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(q).alias("code"))
+
+
+@query(f"with {ASKED} select qid, code, len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0 as bare from coded where code is not null")
+def bare_code(spark, sf_dir):
+    coded = fusion.with_codes(on.queries(spark, sf_dir)).where("code is not null")
+    return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
+
+
+@query(rf"""select page_id, {PERCENT("url || ' ü/ş%20'", "A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%")} as encoded from pages""")
+def encode_url(spark, sf_dir):
+    return on.table(spark, sf_dir, "pages").select("page_id", T.encode_url(F.concat("url", F.lit(" ü/ş%20"))).alias("encoded"))
+
+
+@query(rf"""select page_id, case when page_id % 3 = 0 then url else '{T.VIEWER}' || {PERCENT("url", "A-Za-z0-9\-_.!~*''()")} end as view_url, starts_with(url, 'https://') as opens from pages""")
+def view_url(spark, sf_dir):
+    ext = F.when(F.col("page_id") % 3 == 0, "PDF").otherwise("docx")
+    return on.table(spark, sf_dir, "pages").select("page_id", T.view_url(F.col("url"), ext).alias("view_url"), T.opens(F.col("url")).alias("opens"))
+
+
+MARKED = r"regexp_extract_all(left(text, 300), '([\p{L}\p{N}]+)', 1)"
+
+
+@query(f"select doc_id, len(list_filter({MARKED}, lambda w: {FOLD('w')} in ('the', 'that', 'de') or starts_with({FOLD('w')}, 'thent'))) as n_match from documents")
+def match_terms(spark, sf_dir):
+    terms = F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent"))
+    runs = F.filter(T.marks(F.substring("text", 1, 300), terms), lambda r: r["match"])
+    return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
+
+
+@query(f"select doc_id, {BODY('text')} as body from documents")
+def passage_body(spark, sf_dir):
+    return on.table(spark, sf_dir, "documents").select("doc_id", T.passage_body(F.col("text")).alias("body"))
+
+
+@query(
+    rf"""with p as (select doc_id, string_split(replace(regexp_replace(translate(text, chr(160) || chr(13), ' ' || chr(10)), '[ \t]+', ' ', 'g'), '', ''), chr(10)) as ls from documents)
+    select doc_id, array_to_string(list_filter(list_transform(ls, lambda x: trim(x, {WHITE})), lambda x: x <> ''), chr(10)) as clean from p"""
+)
+def clean_text(spark, sf_dir):
+    return on.table(spark, sf_dir, "documents").select("doc_id", ingest.clean_text(F.col("text")).alias("clean"))
+
+
+# --- lexical statistics and ranking ---
+
+BODY_FIELD = FIELD("body", "documents", "doc_id", "text")
+
+
+@query(f"with {BODY_FIELD} select unit as doc_id, term, len, tf from body_tf")
+def term_frequency(spark, sf_dir):
+    return lexical.term_frequency(on.table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("unit").alias("doc_id"), "term", "len", "tf")
+
+
+@query(f"with {BODY_FIELD} select term, df from body_df")
+def doc_frequency(spark, sf_dir):
+    return lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text").df
+
+
+@query(f"with {BODY_FIELD} select n, round(avg_len, 6) as avg_len from body_st")
+def field_stats(spark, sf_dir):
+    return lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text").stats.select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query(f"with {ASKED}, {TERMS('coded')}, {BODY_FIELD}, {RANKED('body')} select qid, unit as doc_id, round(score, 6) as score, rank from body_r")
+def bm25_topk(spark, sf_dir):
+    f = lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = lexical.ranked(f, lexical.query_terms(on.queries(spark, sf_dir)))
+    return out.select("qid", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"with {DOCS}, {ASKED}, {TERMS('coded')}, {FIELD('title', 'docs', 'doc', 'title')}, {COVER} select qid, unit as doc, round(coverage, 6) as coverage from cover")
+def title_coverage(spark, sf_dir):
+    f = lexical.field(on.docs(spark, sf_dir), "doc", "title")
+    return lexical.coverage(f, lexical.query_terms(on.queries(spark, sf_dir))).select("qid", F.col("unit").alias("doc"), F.round("coverage", 6).alias("coverage"))
+
+
+DENSE = """with d as (select q.vec_id as qid, v.vec_id as unit, list_dot_product(v.embedding::double[], q.embedding::double[]) as score from embeddings v, (select * from embeddings where vec_id < 5) q)
+  select qid, unit, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from d qualify rank < 200"""
+
+
+@query(DENSE)
+def dense_topk(spark, sf_dir):
+    vectors = on.table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return dense.dense_ranked(vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec")), asked).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    """with e as (select vec_id, embedding, label from embeddings), m as (select label, unnest(range(1, 65)) as k, embedding from e)
+    select label, round(sum(embedding[k]::double) / greatest(count(*), 1e-9), 6) as x, k::int as k from m group by label, k"""
+)
+def mask_mean_pool(spark, sf_dir):
+    """Vectors of a label pooled as the tokens of one text."""
+    grouped = on.table(spark, sf_dir, "embeddings").groupBy("label", (F.col("vec_id") % 8).alias("part")).agg(F.collect_list("embedding").alias("h"))
+    pooled = grouped.select("label", F.size("h").alias("n"), dense.mean_pool(F.col("h"), F.transform("h", lambda x: F.lit(1.0))).alias("v"))
+    return pooled.select("label", "n", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("x")).select("label", "x", (F.col("k") + 1).cast("int").alias("k"))
+
+
+# --- hybrid search ---
+
+
+@query(f"{SEARCH} select qid, doc, round(score, 6) as score from fused")
+def fusion_rrf(spark, sf_dir):
+    c, asked = on.corpus(spark, sf_dir), on.queries(spark, sf_dir)
+    coded = fusion.with_codes(asked)
+    hits = fusion.code_hits(c.docs, coded)
+    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
+    open_ = coded.join(only, "qid", "left_anti")
+    terms = lexical.query_terms(open_)
+    titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
+    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
+    body = lexical.ranked(c.body, terms).select("qid", F.col("unit").alias("doc"), fusion.contribution().alias("score"))
+    near = dense.dense_ranked(c.chunks.where("vec is not null").select(F.col("chunk").alias("unit"), "vec"), open_).select("qid", F.col("unit").alias("doc"), fusion.contribution().alias("score"))
+    return fusion.fused(covered.select("qid", "doc", (fusion.TITLE_WEIGHT * F.col("coverage") ** 2).alias("score")), body, near).select("qid", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"{PAGE('')} {SHOWN}")
+def hybrid_search(spark, sf_dir):
+    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir)))
+
+
+@query(f"{PAGE('')} select qid, doc, position from page where why = 'code'")
+def code_search_pinned(spark, sf_dir):
+    return fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir)).where("why = 'code'").select("qid", "doc", "position")
+
+
+@query(f"{PAGE('code,')} {SHOWN}")
+def sort_by_code(spark, sf_dir):
+    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir), sort="code"))
+
+
+@query(f"{PAGE(TOKENS('title') + ',')} {SHOWN}")
+def sort_by_title(spark, sf_dir):
+    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir), sort="title"))
+
+
+@query(f"{PAGE('')} select qid, doc, case when why = 'code' then '' else md5(text) end as passages from page join docs using (doc)")
+def passages_top3(spark, sf_dir):
+    out = fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir))
+    return out.select("qid", "doc", F.when(F.size("passages") == 0, "").otherwise(F.md5(F.array_join("passages", "\n"))).alias("passages"))
+
+
+@query(f"{PAGE('')} select qid, doc, md5(text) as snippet from page join docs using (doc)")
+def first_chunk_snippet(spark, sf_dir):
+    out = fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir))
+    return out.select("qid", "doc", F.md5("snippet").alias("snippet"))
+
+
+NEEDLES = "needles as (select case when doc_id % 2 = 0 then 'FR-' || lpad((doc_id % 450)::varchar, 4, '0') else 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') || '.' || lang || '.' || doc_id end as needle from documents group by all)"
+
+
+@query(
+    f"""with {DOCS}, {NEEDLES}, f as (select needle, doc, 0 as a, 0 as b from needles join docs on id = needle union all select needle, doc, 1, case when lang = 'tr' then 0 else 1 end from needles join docs on docs.code = {CODE('needle')})
+    select needle, doc from f qualify row_number() over (partition by needle order by a, b, doc) = 1"""
+)
+def resolve_doc(spark, sf_dir):
+    d = F.col("doc_id")
+    needle = F.when(d % 2 == 0, F.concat(F.lit("FR-"), F.lpad((d % 450).cast("string"), 4, "0"))).otherwise(F.concat(F.lit("FR-"), F.lpad((d % 400).cast("string"), 4, "0"), F.lit("."), F.col("lang"), F.lit("."), d.cast("string")))
+    return fusion.resolve(on.docs(spark, sf_dir), on.table(spark, sf_dir, "documents").select(needle.alias("needle")).distinct())
+
+
+# --- passages and index ---
+
+CUTS = f"""with recursive d as (select doc_id, trim(text, {WHITE}) as body from documents),
+  cut as (select doc_id, body, 0 as s, case when length(body) <= 900 then length(body) when position(chr(10) in reverse(substr(body, 451, 450))) > 0 then 900 - position(chr(10) in reverse(substr(body, 451, 450))) else 900 end as e, 1 as ord from d where body <> ''
+    union all select doc_id, body, s2, case when s2 + 900 >= length(body) then length(body) when position(chr(10) in reverse(substr(body, s2 + 451, 450))) > 0 then s2 + 900 - position(chr(10) in reverse(substr(body, s2 + 451, 450))) else s2 + 900 end, ord + 1
+    from (select *, greatest(e - 150, s + 1) as s2 from cut where e < length(body) and ord + 1 < 40)),
+  chunks as (select doc_id as doc, 0 as ord, 'T' as text from documents union all select doc_id, ord, 'T' || chr(10) || trim(substr(body, s + 1, e - s), {WHITE}) from cut)"""
+
+
+def titled(spark, sf_dir):
+    return on.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("T").alias("title"), "text")
+
+
+@query(f"{CUTS} select doc, ord, text from chunks")
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk(titled(spark, sf_dir))
+
+
+@query(f"{CUTS} select doc, count(*) as n, any_value(length(d.text)) as chars from chunks c join documents d on d.doc_id = c.doc group by doc")
+def chunk_counts(spark, sf_dir):
+    counts = chunking.chunk(titled(spark, sf_dir)).groupBy("doc").agg(F.count("*").alias("n"))
+    return counts.join(titled(spark, sf_dir).select("doc", F.char_length("text").alias("chars")), "doc")
+
+
+@query("select vec_id as chunk, vec_id // 5 as doc from embeddings where not exists (select 1 from documents where doc_id = vec_id // 5 and doc_id % 10 <> 3)")
+def integrity_orphans(spark, sf_dir):
+    chunks = on.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), F.floor(F.col("vec_id") / 5).alias("doc"))
+    return index_store.orphans(on.docs(spark, sf_dir).where("doc % 10 <> 3"), chunks)
+
+
+@query("select (select count(*) from documents) as documents, (select count(*) from embeddings) as chunks, '2024-01-01' as built, 'test' as source")
+def corpus_stats(spark, sf_dir):
+    n = on.table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"))
+    return n.join(F.broadcast(on.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("chunks")))).select("documents", "chunks", F.lit("2024-01-01").alias("built"), F.lit("test").alias("source"))
+
+
+# --- ingest ---
+
+LINK = r"(?is)<a\b[^>]*?href=\"([^\"]*th[^\"]*)\"[^>]*>(.*?)</a>"
+
+
+@query(
+    rf"""with a as (select page_id, regexp_extract_all(html, '{LINK}', 1) as hs, regexp_extract_all(html, '{LINK}', 2) as ls from pages),
+    r as (select page_id, unnest(range(0, len(hs))) as pos, hs, ls from a)
+    select page_id, pos::int as pos, hs[pos + 1] as href, trim(regexp_replace(replace(replace(regexp_replace(ls[pos + 1], '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as label from r""".replace('\\"', '"')
+)
+def parse_listing(spark, sf_dir):
+    return ingest.parse_listing(on.table(spark, sf_dir, "pages"), word="th")
+
+
+NUMBER, EXT, WORD = "lpad((doc_id % 400)::varchar, 4, '0')", "['docx', 'xlsx', 'pdf', 'doc', 'zip'][doc_id % 5 + 1]", "regexp_extract(text, '([A-Za-z]{3,})', 1)"
+LISTED = f"""with l0 as (select doc_id as pos, text, {NUMBER} as number, {EXT} as ext, {WORD} as word, case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-İngilizce/' else '/kalite/Formlar/' end as folder,
+    case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-%C4%B0ngilizce/' else '/kalite/Formlar/' end as raw from documents),
+  l1 as (select *, case when pos % 2 = 0 then 'FR-' || number || ' ' || word || ' R' || (pos % 4) else 'FR-' || number || '_' || word || '_R2' end as stem from l0),
+  l2 as (select pos, text, '{ingest.ORIGIN}' || '/fileman' || raw || replace(stem || '.' || ext, ' ', '%20') as url, stem || '.' || ext as name, ext, case when starts_with(folder, '/kalite/') then case when contains(folder, 'İngilizce') then 'en' else 'tr' end end as lang,
+    'FR-' || number as code, case when pos % 2 = 0 then pos % 4 else 0 end::int as rev, case when pos % 2 = 0 then coalesce(nullif(word, ''), stem) else coalesce(nullif(word, ''), stem) end as title from l1),
+  l3 as (select *, case when lang is null then 'outside the document folder' when ext not in ('docx', 'xlsx', 'xlsm', 'pdf', 'doc', 'xls') then 'extension ' || ext end as cull_reason from l2),
+  l4 as (select *, row_number() over own as n, first_value(rev) over own as best, first_value(name) over own as winner from l3 where cull_reason is null window own as (partition by code, lang order by rev desc, (ext in ('docx', 'xlsx')) desc, pos)),
+  l5 as (select *, case when n > 1 then case when rev < best then 'superseded by R' || best else 'duplicate of ' || winner end end as superseded from l4)"""
+
+
+def listed(spark, sf_dir):
+    return ingest.cull_reason(ingest.listing_columns(on.listing(spark, sf_dir)))
+
+
+@query(f"{LISTED} select pos, url, name, ext, lang, code, rev, title from l2")
+def listing_columns(spark, sf_dir):
+    return ingest.listing_columns(on.listing(spark, sf_dir)).select("pos", "url", "name", "ext", "lang", "code", "rev", "title")
+
+
+@query(f"{LISTED} select pos, cull_reason from l3")
+def cull_reasons(spark, sf_dir):
+    return listed(spark, sf_dir).select("pos", "cull_reason")
+
+
+@query(f"{LISTED} select pos, superseded from l5")
+def best_revision(spark, sf_dir):
+    return ingest.best_revision(listed(spark, sf_dir).where("cull_reason is null")).select("pos", "superseded")
+
+
+@query("select min(page_id) as pos, url from (select page_id, regexp_replace(url, '[?#].*$', '') as u, split_part(regexp_replace(url, '^https?://', ''), '/', 1) as url from pages) group by url")
+def dedupe_url(spark, sf_dir):
+    host = F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(1))
+    return ingest.first_by_url(on.table(spark, sf_dir, "pages").select(F.col("page_id").alias("pos"), host.alias("url")))
+
+
+@query(f"with {DOCS} select id from docs where doc % 3 = 1")
+def stale_forms(spark, sf_dir):
+    docs = on.docs(spark, sf_dir)
+    return ingest.stale(docs, docs.where("doc % 3 != 1"))
+
+
+@query(f"{LISTED} select count(*) as listed, count(*) filter (where l3.cull_reason is null) as kept, count(*) filter (where l3.cull_reason is not null) as culled, count(*) filter (where l5.pos is not null and superseded is null) as documents, count(*) filter (where l5.pos is not null and superseded is null and l3.text = '') as no_text from l3 left join l5 using (pos)")
+def ingest_report(spark, sf_dir):
+    rows = listed(spark, sf_dir)
+    kept = ingest.best_revision(rows.where("cull_reason is null"))
+    return ingest.report(kept.unionByName(rows.where("cull_reason is not null").withColumn("superseded", F.lit(None).cast("string"))))
+
+
+# --- session ---
+
+COMMANDS = """commands as (select user_id % 20 as session, event_id as at, case when user_id % 5 <> 0 then user_id end as who, case event_type when 'view' then 'open' when 'signup' then 'save' when 'click' then 'search' when 'error' then 'unsave' else 'sort' end as action, props->>'k' as arg from events)"""
+ACTIVITY = f"""with {COMMANDS}, b as (select *, case when action in ('save', 'unsave') then lag(action) over (partition by session, arg order by at) end as before from commands),
+  k as (select *, row_number() over (partition by session order by at) as seq from b where action <> 'save' or before is null or before <> 'save'),
+  log as (select session, seq, who, action, arg as detail from k qualify row_number() over (partition by session order by at desc) <= 40)"""
+
+
+@query(f"{ACTIVITY} select session, seq, who, action, detail from log")
+def activity_tail40(spark, sf_dir):
+    return session.activity(on.commands(spark, sf_dir))
+
+
+@query(f"{ACTIVITY} select session, seq, action, case when who is null then 'you' when who < 50 then 'agent ' || who else who::varchar end as actor from log")
+def activity_named(spark, sf_dir):
+    roster = on.table(spark, sf_dir, "events").where("user_id < 50").select(F.col("user_id").alias("who"), F.concat(F.lit("agent "), "user_id").alias("name")).distinct()
+    return session.named(session.activity(on.commands(spark, sf_dir)), roster).select("session", "seq", "action", "actor")
+
+
+@query(f"with {COMMANDS} select session, at, case when action = 'open' then 'doc.opened' else 'saved.changed' end as signal, arg as detail from commands where who is null and action in ('open', 'save', 'unsave')")
+def signals(spark, sf_dir):
+    return session.signals(on.commands(spark, sf_dir))
+
+
+@query(
+    f"""with {COMMANDS}, e as (select *, coalesce(lag(action) over (partition by session, arg order by at) <> action, true) as fresh from commands where action in ('save', 'unsave')),
+    s as (select session, arg as id, max_by(action, at) as action, max(case when fresh and action = 'save' then at end) as at from e group by session, arg)
+    select session, id, row_number() over (partition by session order by at, id) as pos from s where action = 'save'"""
+)
+def saved_set(spark, sf_dir):
+    return session.saved_set(on.commands(spark, sf_dir))
+
+
+@query(
+    """with k as (select user_id as session, ts as at, props->>'k' as query from events),
+    g as (select *, case when at >= lag(at) over (partition by session order by at) + interval 30 minute then 1 when lag(at) over (partition by session order by at) is null then 1 else 0 end as fresh from k),
+    w as (select *, sum(fresh) over (partition by session order by at) as n from g)
+    select session, max(at) + interval 30 minute as fired, max_by(query, at) as query from w group by session, n"""
+)
+def debounced_queries(spark, sf_dir):
+    keys = on.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").alias("query"))
+    return session.debounced(keys, "30 minutes")
+
+
+@query(
+    """with s as (select user_id as job, event_id as seq, floor(100 * (props->>'k')::double / 10 / 10.0)::bigint as percent from events), l as (select *, lag(percent) over (partition by job order by seq) as b from s)
+    select job, seq, percent from l where b is null or b <> percent"""
+)
+def progress_changes(spark, sf_dir):
+    steps = on.table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("double").alias("done"), F.lit(100.0).alias("size"))
+    return session.progress_changes(steps).select("job", "seq", "percent")
+
+
+@query(
+    """with f as (select l_orderkey as job, l_linenumber as seq, l_quantity::bigint as size from lineitem)
+    select job, seq, size, floor(100 * coalesce(sum(size) over (partition by job order by seq rows between unbounded preceding and 1 preceding), 0) / greatest(sum(size) over (partition by job), 1))::bigint as percent from f"""
+)
+def weighted_progress(spark, sf_dir):
+    files = on.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("long").alias("size"))
+    return session.weighted_progress(files)
