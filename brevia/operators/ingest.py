@@ -75,11 +75,14 @@ def report(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
-def composed(texts: pd.Series) -> pd.Series:
-    """Unicode normal form C, which Spark has no function for."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def composed(text):
+    """Unicode normal form C, which Spark has no function for."""
+    return F.pandas_udf(_composed, "string")(text)
+
+
 def clean_text(text):
     return T.tidy(composed(text))

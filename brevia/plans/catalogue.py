@@ -92,8 +92,8 @@ COVER = """cover as (select m.qid, m.unit, m.c / r.c as coverage from (select qi
 #: Everything of a search up to the fused scores of all candidates.
 SEARCH = f"""with {DOCS}, {ASKED},
   hits as (select qid, doc from coded join docs using (code)),
-  only as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
-  open_q as (select * from coded where qid not in (select qid from only)),
+  bare_q as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
+  open_q as (select * from coded where qid not in (select qid from bare_q)),
   {TERMS('open_q')}, {FIELD('title', 'docs', 'doc', 'title')}, {FIELD('body', 'documents', 'doc_id', 'text')}, {RANKED('title')}, {RANKED('body')}, {COVER},
   dense_s as (select q.qid, v.vec_id as unit, list_dot_product(v.embedding::double[], e.embedding::double[]) as score from open_q q join embeddings e on e.vec_id = q.qid, embeddings v),
   dense_r as (select qid, unit, score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from dense_s where unit in (select doc from docs) qualify rank < 200),
@@ -150,12 +150,12 @@ def bare_code(spark, sf_dir):
     return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
 
 
-@query(rf"""select page_id, {PERCENT("url || ' ü/ş%20'", "A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%")} as encoded from pages""")
+@query(rf"""select page_id, {PERCENT("url || ' ü/ş%20'", r"A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%")} as encoded from pages""")
 def encode_url(spark, sf_dir):
     return on.table(spark, sf_dir, "pages").select("page_id", T.encode_url(F.concat("url", F.lit(" ü/ş%20"))).alias("encoded"))
 
 
-@query(rf"""select page_id, case when page_id % 3 = 0 then url else '{T.VIEWER}' || {PERCENT("url", "A-Za-z0-9\-_.!~*''()")} end as view_url, starts_with(url, 'https://') as opens from pages""")
+@query(rf"""select page_id, case when page_id % 3 = 0 then url else '{T.VIEWER}' || {PERCENT("url", r"A-Za-z0-9\-_.!~*''()")} end as view_url, starts_with(url, 'https://') as opens from pages""")
 def view_url(spark, sf_dir):
     ext = F.when(F.col("page_id") % 3 == 0, "PDF").otherwise("docx")
     return on.table(spark, sf_dir, "pages").select("page_id", T.view_url(F.col("url"), ext).alias("view_url"), T.opens(F.col("url")).alias("opens"))
@@ -403,10 +403,10 @@ def ingest_report(spark, sf_dir):
 
 # --- session ---
 
-COMMANDS = """commands as (select user_id % 20 as session, event_id as at, case when user_id % 5 <> 0 then user_id end as who, case event_type when 'view' then 'open' when 'signup' then 'save' when 'click' then 'search' when 'error' then 'unsave' else 'sort' end as action, props->>'k' as arg from events)"""
-ACTIVITY = f"""with {COMMANDS}, b as (select *, case when action in ('save', 'unsave') then lag(action) over (partition by session, arg order by at) end as before from commands),
-  k as (select *, row_number() over (partition by session order by at) as seq from b where action <> 'save' or before is null or before <> 'save'),
-  log as (select session, seq, who, action, arg as detail from k qualify row_number() over (partition by session order by at desc) <= 40)"""
+COMMANDS = """commands as (select user_id % 20 as session, event_id as at_, case when user_id % 5 <> 0 then user_id end as who, case event_type when 'view' then 'open' when 'signup' then 'save' when 'click' then 'search' when 'error' then 'unsave' else 'sort' end as action, props->>'k' as arg from events)"""
+ACTIVITY = f"""with {COMMANDS}, b as (select *, case when action in ('save', 'unsave') then lag(action) over (partition by session, arg order by at_) end as before from commands),
+  k as (select *, row_number() over (partition by session order by at_) as seq from b where action <> 'save' or before is null or before <> 'save'),
+  log as (select session, seq, who, action, arg as detail from k qualify row_number() over (partition by session order by at_ desc) <= 40)"""
 
 
 @query(f"{ACTIVITY} select session, seq, who, action, detail from log")
@@ -420,25 +420,25 @@ def activity_named(spark, sf_dir):
     return session.named(session.activity(on.commands(spark, sf_dir)), roster).select("session", "seq", "action", "actor")
 
 
-@query(f"with {COMMANDS} select session, at, case when action = 'open' then 'doc.opened' else 'saved.changed' end as signal, arg as detail from commands where who is null and action in ('open', 'save', 'unsave')")
+@query(f"with {COMMANDS} select session, at_ as at, case when action = 'open' then 'doc.opened' else 'saved.changed' end as signal, arg as detail from commands where who is null and action in ('open', 'save', 'unsave')")
 def signals(spark, sf_dir):
     return session.signals(on.commands(spark, sf_dir))
 
 
 @query(
-    f"""with {COMMANDS}, e as (select *, coalesce(lag(action) over (partition by session, arg order by at) <> action, true) as fresh from commands where action in ('save', 'unsave')),
-    s as (select session, arg as id, max_by(action, at) as action, max(case when fresh and action = 'save' then at end) as at from e group by session, arg)
-    select session, id, row_number() over (partition by session order by at, id) as pos from s where action = 'save'"""
+    f"""with {COMMANDS}, e as (select *, coalesce(lag(action) over (partition by session, arg order by at_) <> action, true) as fresh from commands where action in ('save', 'unsave')),
+    s as (select session, arg as id, max_by(action, at_) as action, max(case when fresh and action = 'save' then at_ end) as at_ from e group by session, arg)
+    select session, id, row_number() over (partition by session order by at_, id) as pos from s where action = 'save'"""
 )
 def saved_set(spark, sf_dir):
     return session.saved_set(on.commands(spark, sf_dir))
 
 
 @query(
-    """with k as (select user_id as session, ts as at, props->>'k' as query from events),
-    g as (select *, case when at >= lag(at) over (partition by session order by at) + interval 30 minute then 1 when lag(at) over (partition by session order by at) is null then 1 else 0 end as fresh from k),
-    w as (select *, sum(fresh) over (partition by session order by at) as n from g)
-    select session, max(at) + interval 30 minute as fired, max_by(query, at) as query from w group by session, n"""
+    """with k as (select user_id as session, ts as at_, props->>'k' as query from events),
+    g as (select *, case when at_ >= lag(at_) over (partition by session order by at_) + interval 30 minute then 1 when lag(at_) over (partition by session order by at_) is null then 1 else 0 end as fresh from k),
+    w as (select *, sum(fresh) over (partition by session order by at_) as n from g)
+    select session, max(at_) + interval 30 minute as fired, max_by(query, at_) as query from w group by session, n"""
 )
 def debounced_queries(spark, sf_dir):
     keys = on.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").alias("query"))
@@ -455,9 +455,9 @@ def progress_changes(spark, sf_dir):
 
 
 @query(
-    """with f as (select l_orderkey as job, l_linenumber as seq, l_quantity::bigint as size from lineitem)
+    """with f as (select l_orderkey as job, l_linenumber * 1000000 + l_partkey * 100 + l_quantity::bigint as seq, sum(l_quantity::bigint)::bigint as size from lineitem group by all)
     select job, seq, size, floor(100 * coalesce(sum(size) over (partition by job order by seq rows between unbounded preceding and 1 preceding), 0) / greatest(sum(size) over (partition by job), 1))::bigint as percent from f"""
 )
 def weighted_progress(spark, sf_dir):
-    files = on.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("long").alias("size"))
+    files = on.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"), F.col("l_quantity").cast("long").alias("size")).groupBy("job", "seq").agg(F.sum("size").alias("size"))
     return session.weighted_progress(files)
