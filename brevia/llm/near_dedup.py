@@ -8,9 +8,10 @@ registers give buckets. Texts with equal sets are one class before that.
 
 In each bucket everything is compared with two leaders, so a bucket makes two pairs a
 member however many it has. Pairs that pass the size bound and the likelihood estimate
-are verified on full sets, and verified links give components. What the leaders left
-apart in a bucket is then compared across components, so no pair that shares a bucket
-and may be linked goes untested.
+are verified on full sets, and verified links give components. Where a bucket still holds
+several components, other leaders follow, one a round, for what is not theirs. What even
+they leave apart is compared across components, but for pairs whose sizes or register
+bits speak against it, so no pair that shares a bucket and may be linked goes untested.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard deviations below the threshold at which the estimate gives a pair up.
 SLACK = 6.0
+#: Further leaders of a bucket that holds several components.
+ROUNDS = 4
+#: Ids that are broadcast to the texts at most; more are joined by a shuffle. 8 bytes each.
+BROADCAST_IDS = 200_000
 
 
 def shingle_sets(column: pa.Array, n: int, lower: bool) -> list[np.ndarray]:
@@ -137,6 +142,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sketch").mapInArrow(work, "key long, id long")
 
 
+def _bits(classes: DataFrame) -> DataFrame:
+    """(id, n_shingles, b0..b3): one bit of each register; equal registers have equal bits, others half the time."""
+
+    def work(batches):
+        for ids, n, sketch in _table(batches, ["id", "n_shingles", "sketch"]):
+            bit = (words.mix(_stack(sketch).astype(np.uint64)) >> np.uint64(63)).astype(np.uint8)
+            packed = np.ascontiguousarray(np.packbits(bit, axis=1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids, n, *(pa.array(packed[:, k]) for k in range(4))], names=["id", "n_shingles", "b0", "b1", "b2", "b3"])
+
+    return classes.select("id", "n_shingles", "sketch").mapInArrow(work, "id long, n_shingles long, b0 long, b1 long, b2 long, b3 long")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the set sizes allow and whose estimated similarity is near the threshold or above."""
     j = percent / 100
@@ -154,7 +171,8 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
 
     def sets_of(batches):
         for ids, texts in _table(batches, ["id", "text"]):
@@ -207,19 +225,42 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     classes = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("c")).select("f1", "f2", "c.*")
     classes = saved(classes)
     buckets = _buckets(classes)
-    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("any"), F.count("*").alias("c")).where("c > 1")
-    met = saved(buckets.join(leads.select("key", "low", F.col("any.id").alias("any")), "key"))
+    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", "key")).alias("any"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = saved(buckets.join(leads, "key"))
     pairs = met.select(F.explode(F.array(*(F.struct(F.greatest("id", x).alias("a"), F.least("id", x).alias("b")) for x in ("low", "any")))).alias("p")).select("p.*").where("a != b").distinct()
     texts = rows.where("id is not null")
-    links = saved(_verified(saved(_likely(pairs, classes, percent)), texts, shingle, lower, percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return saved(_verified(saved(_likely(pairs, classes, percent)), texts, shingle, lower, percent))
+
+    def still_apart(met: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, id, component) of the buckets that hold several components."""
+        now = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+        return saved(now.join(mixed, "key"))
+
+    links = confirmed(pairs)
     found = components(links)
-    # what a bucket still holds apart
-    apart = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = apart.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    apart = saved(apart.join(mixed, "key"))
-    left, right = (apart.select("key", F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-    rest = left.join(right, "key").where("a > b and c_a != c_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = saved(_verified(saved(_likely(rest, classes, percent)), texts, shingle, lower, percent))
+    apart = still_apart(met, found)
+    for k in range(ROUNDS):
+        h = F.xxhash64("id", "key", F.lit(k))
+        leads = apart.groupBy("key").agg(F.min_by("id", h).alias("lead"), F.min_by("component", h).alias("its"))
+        pairs = apart.join(leads, "key").where("component != its").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+        more = confirmed(pairs)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        found = components(links)
+        apart = still_apart(apart, found)
+    own = saved(apart.join(_bits(classes), "id"))
+    left, right = (own.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n_shingles", "b0", "b1", "b2", "b3"))) for x in "ab")
+    off = sum(F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(4))
+    share = (1 - percent / 100) / 2
+    near = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    near = near & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    near = near & (off <= math.ceil(REGISTERS * share + SLACK * math.sqrt(REGISTERS * share * (1 - share))))
+    rest = left.withColumnRenamed("key", "k_a").join(right.withColumnRenamed("key", "k_b"), (F.col("k_a") == F.col("k_b")) & near).select("a", "b").distinct()
+    more = confirmed(rest)
     same = full.join(classes.select("f1", "f2", F.col("id").alias("first")), ["f1", "f2"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     if not more.isEmpty():
         found = components(links.union(more))
