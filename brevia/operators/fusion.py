@@ -27,7 +27,7 @@ class Corpus:
 
 
 def corpus(docs: DataFrame, chunks: DataFrame) -> Corpus:
-    return Corpus(docs, chunks, lexical.field(chunks, "chunk", "text"), lexical.field(docs, "doc", "title"))
+    return Corpus(docs, chunks, lexical.field(chunks, "chunk", "text", keep=True), lexical.field(docs, "doc", "title", keep=True))
 
 
 def with_codes(queries: DataFrame) -> DataFrame:

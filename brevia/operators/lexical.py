@@ -27,9 +27,14 @@ def term_frequency(units: DataFrame, unit_col: str, text_col: str) -> DataFrame:
     return tokens.select("unit", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("unit", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def field(units: DataFrame, unit_col: str, text_col: str) -> Field:
-    """Units without tokens count for n and the average length, so stats come from the units, not from the terms."""
+def field(units: DataFrame, unit_col: str, text_col: str, keep: bool = False) -> Field:
+    """Units without tokens count for n and the average length, so stats come from the units, not from the terms.
+
+    keep: the frequencies are cached, for a corpus that is searched more than once or by several lists.
+    """
     tf = term_frequency(units, unit_col, text_col)
+    if keep:
+        tf = tf.persist()
     lengths = units.select(F.size(tokenize(F.col(text_col))).alias("len"))
     stats = lengths.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
     return Field(tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats)
