@@ -85,9 +85,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = dict(docs.dtypes)[id_col]
     sparse = rows.mapInArrow(counted, f"id {kind}, y double, index binary, count binary")
     # one task on purpose: the sample is bounded and the leader learns in order
-    (row,) = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "y").mapInArrow(trained, "at binary, w binary").collect()
+    found = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "y").mapInArrow(trained, "at binary, w binary").collect()
     w = np.zeros((1 << bits) + 1)
-    w[np.frombuffer(row.at, np.int32)] = np.frombuffer(row.w)
+    for row in found:  # one row, or none without labels
+        w[np.frombuffer(row.at, np.int32)] = np.frombuffer(row.w)
     return w
 
 
