@@ -10,8 +10,8 @@ In each bucket everything is compared with two leaders, so a bucket makes two pa
 member however many it has. Pairs that pass the size bound and the likelihood estimate
 are verified on full sets, and verified links give components. Where a bucket still holds
 several components, other leaders follow, one a round, for what is not theirs. What even
-they leave apart is compared across components, but for pairs whose sizes or register
-bits speak against it, so no pair that shares a bucket and may be linked goes untested.
+they leave apart is compared across components, each pair once, but for pairs whose sizes
+or register bits speak against it, so no pair that shares a bucket and may be linked goes untested.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     key = np.broadcast_to(words.numbers(BANDS, 29), parts.shape[:2]).copy()
     for k in range(ROWS):
         key = words.mix(key ^ parts[:, :, k]) + np.uint64(0x9E3779B97F4A7C15)
-    return key
+    return key & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)
 
 
 def likeliest(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def _signatures(docs: DataFrame, n: int, lower: bool) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, id) of every band of every class."""
+    """(key, id) of every band of every class; a key's last six bits are its band."""
 
     def work(batches):
         for ids, sketch in _table(batches, ["id", "sketch"]):
@@ -143,15 +143,16 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def _bits(classes: DataFrame) -> DataFrame:
-    """(id, n_shingles, b0..b3): one bit of each register; equal registers have equal bits, others half the time."""
+    """(id, n_shingles, keys, b0..b3): keys of all bands, and one bit of each register, equal for equal registers, else half the time."""
 
     def work(batches):
         for ids, n, sketch in _table(batches, ["id", "n_shingles", "sketch"]):
             bit = (words.mix(_stack(sketch).astype(np.uint64)) >> np.uint64(63)).astype(np.uint8)
             packed = np.ascontiguousarray(np.packbits(bit, axis=1)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, n, *(pa.array(packed[:, k]) for k in range(4))], names=["id", "n_shingles", "b0", "b1", "b2", "b3"])
+            keys = pa.array(list(band_keys(_stack(sketch)).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, n, keys, *(pa.array(packed[:, k]) for k in range(4))], names=["id", "n_shingles", "keys", "b0", "b1", "b2", "b3"])
 
-    return classes.select("id", "n_shingles", "sketch").mapInArrow(work, "id long, n_shingles long, b0 long, b1 long, b2 long, b3 long")
+    return classes.select("id", "n_shingles", "sketch").mapInArrow(work, "id long, n_shingles long, keys array<long>, b0 long, b1 long, b2 long, b3 long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +226,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     classes = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("c")).select("f1", "f2", "c.*")
     classes = saved(classes)
     buckets = _buckets(classes)
-    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min_by("id", F.xxhash64("id", "key")).alias("any"), F.count("*").alias("c")).where("c > 1").drop("c")
+    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min_by("id", F.xxhash64("id")).alias("any"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = saved(buckets.join(leads, "key"))
     pairs = met.select(F.explode(F.array(*(F.struct(F.greatest("id", x).alias("a"), F.least("id", x).alias("b")) for x in ("low", "any")))).alias("p")).select("p.*").where("a != b").distinct()
     texts = rows.where("id is not null")
@@ -243,8 +244,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     found = components(links)
     apart = still_apart(met, found)
     for k in range(ROUNDS):
-        h = F.xxhash64("id", "key", F.lit(k))
-        leads = apart.groupBy("key").agg(F.min_by("id", h).alias("lead"), F.min_by("component", h).alias("its"))
+        # a leader of the bucket's largest component, another in every bucket, for what is not in it
+        sides = apart.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias("lead"), F.count("*").alias("c"))
+        leads = sides.groupBy("key").agg(F.max_by("lead", "c").alias("lead"), F.max_by("component", "c").alias("its"))
         pairs = apart.join(leads, "key").where("component != its").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
         more = confirmed(pairs)
         if more.isEmpty():
@@ -253,13 +255,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         found = components(links)
         apart = still_apart(apart, found)
     own = saved(apart.join(_bits(classes), "id"))
-    left, right = (own.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n_shingles", "b0", "b1", "b2", "b3"))) for x in "ab")
+    left, right = (own.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n_shingles", "keys", "b0", "b1", "b2", "b3"))) for x in "ab")
     off = sum(F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(4))
     share = (1 - percent / 100) / 2
     near = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b"))
     near = near & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
     near = near & (off <= math.ceil(REGISTERS * share + SLACK * math.sqrt(REGISTERS * share * (1 - share))))
-    rest = left.withColumnRenamed("key", "k_a").join(right.withColumnRenamed("key", "k_b"), (F.col("k_a") == F.col("k_b")) & near).select("a", "b").distinct()
+    # a pair comes out of its first common band alone
+    common = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    near = near & (F.get(common, F.lit(0)) == F.col("k_a"))
+    rest = left.withColumnRenamed("key", "k_a").join(right.withColumnRenamed("key", "k_b"), (F.col("k_a") == F.col("k_b")) & near).select("a", "b")
     more = confirmed(rest)
     same = full.join(classes.select("f1", "f2", F.col("id").alias("first")), ["f1", "f2"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     if not more.isEmpty():
