@@ -22,17 +22,22 @@ class WaveletMatrix:
             self.levels.append((packed, before, len(bit) - int(bit.sum())))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
-    def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before low and before high."""
-        begin = np.zeros_like(low)
+        symbols = np.arange(symbols)
+        self.begin = self._down(symbols, [np.zeros(len(symbols), np.int64)])[0]  # where each symbol's run begins at the last level
+
+    def _down(self, symbol: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
         for k, (packed, before, zeros) in enumerate(self.levels):
             one = (symbol >> (self.bits - 1 - k) & 1).astype(bool)
-            places = []
-            for at in (begin, low, high):
+            for n, at in enumerate(places):
                 word = at >> 6
                 ones = before[word] + np.bitwise_count(packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-                places.append(np.where(one, zeros + ones, at - ones))
-            begin, low, high = places
+                places[n] = np.where(one, zeros + ones, at - ones)
+        return places
+
+    def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each symbol before low and before high."""
+        begin = self.begin[symbol]
+        low, high = self._down(symbol, [low, high])
         return low - begin, high - begin
 
 
@@ -80,13 +85,14 @@ class FMIndex:
 
         Patterns that occur once are given up as soon as that shows.
         """
-        low = np.zeros(len(ends), np.int64)
-        high = np.full(len(ends), len(self.text), np.int64)
-        alive = np.arange(len(ends))
+        symbol = self.text[ends - 1]
+        alive, low, high = np.arange(len(ends)), self.before[symbol], self.before[symbol + 1]
         for k in range(1, length + 1):
-            symbol = self.text[ends[alive] - k]
-            a, b = self.wavelet.ranks(symbol, low, high)
-            low, high = self.before[symbol] + a, self.before[symbol] + b
             more = high - low > 1
             alive, low, high = alive[more], low[more], high[more]
+            if k == length:
+                break
+            symbol = self.text[ends[alive] - k - 1]
+            a, b = self.wavelet.ranks(symbol, low, high)
+            low, high = self.before[symbol] + a, self.before[symbol] + b
         return alive, low, high

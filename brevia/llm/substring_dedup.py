@@ -29,6 +29,9 @@ PACK, SHARDS = 8 << 20, 2
 #: Words of one FM-index; minimizers of a larger shard are dealt over several.
 INDEX_WORDS = 1_500_000
 
+#: Kinds of a segment's numbers: minimizer, id, place, words, whether it holds its minimizer twice.
+_NUMBERS = (np.uint64, np.int64, np.int32, np.uint16, np.uint8)
+
 _RANGES = "id long, ranges binary"
 
 
@@ -126,11 +129,12 @@ def _pack(shards: int, window: int):
         order = order[np.argsort(shard, kind="stable")]
         shard = (least[order] >> np.uint64(20)).astype(np.int64) % shards
         cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         rows = []
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
             own = order[a:b]
-            head = b"".join(x.tobytes() for x in (np.array([len(own)], np.int64), least[own], ids[own].astype(np.int64), place[own].astype(np.int64), size[own].astype(np.int64), twice[own].astype(np.int64)))
+            numbers = zip(_NUMBERS, (least[own], ids[own], place[own], size[own], twice[own]))
+            head = len(own).to_bytes(8, "little") + b"".join(x.astype(kind).tobytes() for kind, x in numbers)
             rows.append(squeeze.compress(head + b"\n".join([_flat(texts[k]) for k in own.tolist()])))
         yield pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), pa.nulls(len(cut), pa.int64()), pa.array(rows, pa.binary())], names=names)
 
@@ -152,11 +156,20 @@ def _unpack(payloads: list[bytes]):
     parts, texts = [], []
     for p in payloads:
         raw = zstandard.ZstdDecompressor().decompress(p)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        parts.append(np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n))
-        texts.append(raw[8 + 40 * n :].split(b"\n"))
-    least, ids, place, size, twice = np.concatenate(parts, 1)
-    return least.view(np.uint64), ids, place, size, twice > 0, texts
+        n, at, row = int.from_bytes(raw[:8], "little"), 8, []
+        for kind in _NUMBERS:
+            row.append(np.frombuffer(raw, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        parts.append(row)
+        texts += raw[at:].split(b"\n")
+    least, ids, place, size, twice = (np.concatenate(x) for x in zip(*parts))
+    return least, ids, place.astype(np.int64), size.astype(np.int64), twice > 0, texts
+
+
+def _shared(least: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Segments whose minimizer another segment has, or that hold it twice."""
+    _, at, n = np.unique(least, return_inverse=True, return_counts=True)
+    return np.flatnonzero((n[at] > 1) | twice)
 
 
 def repeats(least, ids, place, size, texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +224,26 @@ def _index(window: int):
                     early = []
                 continue
             least, ids, place, size, twice, texts = _unpack(rows)
-            _, at, n = np.unique(least, return_inverse=True, return_counts=True)
-            shared = np.flatnonzero((n[at] > 1) | twice)
+            shared = _shared(least, twice)
+            # of equal segments the earliest stays; the others are repeats from end to end
+            first, again = {}, []
+            for x in shared[np.lexsort((place[shared], ids[shared]))].tolist():
+                earlier = first.setdefault(texts[x], x)
+                if earlier != x and (ids[earlier], place[earlier]) != (ids[x], place[x]):
+                    again.append(x)
+            if again:
+                yield _group_ranges(ids[again], place[again], place[again] + size[again])
+            shared = np.array(sorted(first.values()), np.int64)
+            shared = shared[_shared(least[shared], twice[shared])]
             if not len(shared):
                 continue
-            flat = [t for part in texts for t in part]
             parts = -(-int(size[shared].sum()) // INDEX_WORDS)
             deal = (words.mix(least[shared] + np.uint64(5)) % np.uint64(parts)).astype(np.int64)
             for k in range(parts):
                 own = shared[deal == k]
                 if not len(own):
                     continue
-                seg, inner = repeats(least[own], ids[own], place[own], size[own], [flat[x] for x in own.tolist()], window)
+                seg, inner = repeats(least[own], ids[own], place[own], size[own], [texts[x] for x in own.tolist()], window)
                 if len(seg):
                     yield _group_ranges(ids[own][seg], place[own][seg] + inner, place[own][seg] + inner + window)
         if early:
