@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from brevia.functions import text as T
 
-#: Site root of relative links, path part of documents, path part of English ones, extensions kept (fixed values).
-ORIGIN = "https://www.gtu.edu.tr"
+#: Path part of documents, path part of English ones, extensions kept, modern ones (fixed values).
 DOCUMENTS, ENGLISH = "/kalite/", "Formlar-İngilizce"
 KEPT = ("docx", "xlsx", "xlsm", "pdf", "doc", "xls")
 MODERN = ("docx", "xlsx")
@@ -26,8 +25,8 @@ def parse_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     return rows.select(id_col, "pos", F.col("a.href").alias("href"), F.btrim(F.regexp_replace(plain, r"(?U)\s+", " ")).alias("label"))
 
 
-def listing_columns(links: DataFrame, origin: str = ORIGIN, documents: str = DOCUMENTS, english: str = ENGLISH) -> DataFrame:
-    """links with path, url, name, ext, lang, code, rev and title."""
+def listing_columns(links: DataFrame, origin: str, documents: str = DOCUMENTS, english: str = ENGLISH) -> DataFrame:
+    """links with path, url, name, ext, lang, code, rev and title; origin is the site root of relative links."""
     out = links.withColumn("path", F.url_decode(F.replace("href", F.lit("+"), F.lit("%2B"))))
     out = out.withColumn("url", F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(origin), "href")))
     out = out.withColumn("name", F.substring_index("path", "/", -1))

@@ -352,11 +352,12 @@ def parse_listing(spark, sf_dir):
     return ingest.parse_listing(on.table(spark, sf_dir, "pages"), word="th")
 
 
+ORIGIN = "https://forms.example.org"
 NUMBER, EXT, WORD = "lpad((doc_id % 400)::varchar, 4, '0')", "['docx', 'xlsx', 'pdf', 'doc', 'zip'][doc_id % 5 + 1]", "regexp_extract(text, '([A-Za-z]{3,})', 1)"
 LISTED = f"""with l0 as (select doc_id as pos, text, {NUMBER} as number, {EXT} as ext, {WORD} as word, case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-İngilizce/' else '/kalite/Formlar/' end as folder,
     case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-%C4%B0ngilizce/' else '/kalite/Formlar/' end as raw from documents),
   l1 as (select *, case when pos % 2 = 0 then 'FR-' || number || ' ' || word || ' R' || (pos % 4) else 'FR-' || number || '_' || word || '_R2' end as stem from l0),
-  l2 as (select pos, text, '{ingest.ORIGIN}' || '/fileman' || raw || replace(stem || '.' || ext, ' ', '%20') as url, stem || '.' || ext as name, ext, case when starts_with(folder, '/kalite/') then case when contains(folder, 'İngilizce') then 'en' else 'tr' end end as lang,
+  l2 as (select pos, text, '{ORIGIN}' || '/fileman' || raw || replace(stem || '.' || ext, ' ', '%20') as url, stem || '.' || ext as name, ext, case when starts_with(folder, '/kalite/') then case when contains(folder, 'İngilizce') then 'en' else 'tr' end end as lang,
     'FR-' || number as code, case when pos % 2 = 0 then pos % 4 else 0 end::int as rev, case when pos % 2 = 0 then coalesce(nullif(word, ''), stem) else coalesce(nullif(word, ''), stem) end as title from l1),
   l3 as (select *, case when lang is null then 'outside the document folder' when ext not in ('docx', 'xlsx', 'xlsm', 'pdf', 'doc', 'xls') then 'extension ' || ext end as cull_reason from l2),
   l4 as (select *, row_number() over own as n, first_value(rev) over own as best, first_value(name) over own as winner from l3 where cull_reason is null window own as (partition by code, lang order by rev desc, (ext in ('docx', 'xlsx')) desc, pos)),
@@ -364,12 +365,12 @@ LISTED = f"""with l0 as (select doc_id as pos, text, {NUMBER} as number, {EXT} a
 
 
 def listed(spark, sf_dir):
-    return ingest.cull_reason(ingest.listing_columns(on.listing(spark, sf_dir)))
+    return ingest.cull_reason(ingest.listing_columns(on.listing(spark, sf_dir), ORIGIN))
 
 
 @query(f"{LISTED} select pos, url, name, ext, lang, code, rev, title from l2")
 def listing_columns(spark, sf_dir):
-    return ingest.listing_columns(on.listing(spark, sf_dir)).select("pos", "url", "name", "ext", "lang", "code", "rev", "title")
+    return ingest.listing_columns(on.listing(spark, sf_dir), ORIGIN).select("pos", "url", "name", "ext", "lang", "code", "rev", "title")
 
 
 @query(f"{LISTED} select pos, cull_reason from l3")

@@ -16,6 +16,5 @@ FORM = T.StructType(
     ]
 )
 
-#: Marks of a binary index file and of the model whose vectors it holds (fixed values).
-MAGIC = b"GTURAG\x00\x01"
+#: Model whose vectors an index holds by default, and their length (fixed values).
 MODEL, DIM = "intfloat/multilingual-e5-small", 384

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from brevia.operators import chunking, dense
 from brevia.sources import index_store
-from brevia.sources.schemas import MAGIC
+
+MAGIC = b"TESTIDX\x01"
 
 
 def test_passages():
@@ -63,10 +64,10 @@ def test_index_round_trip_and_refusals(spark, tmp_path):
 def test_binary_index():
     header = json.dumps({"dim": 2, "docs": [{}], "chunks": [{"doc": 0, "ord": 0, "text": "x"}]}).encode()
     blob = MAGIC + struct.pack("<I", len(header)) + header + struct.pack("<2f", 1, 0)
-    assert index_store.parse_binary(blob)[1].tolist() == [[1.0, 0.0]]
+    assert index_store.parse_binary(blob, MAGIC)[1].tolist() == [[1.0, 0.0]]
     for bad in (b"nothing", blob[:20], blob[:-4]):
         with pytest.raises(index_store.BrokenIndex):
-            index_store.parse_binary(bad)
+            index_store.parse_binary(bad, MAGIC)
 
 
 def test_forms(spark, tmp_path):

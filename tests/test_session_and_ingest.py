@@ -50,7 +50,7 @@ def test_stream_equals_reducer(spark, tmp_path):
 def test_listing(spark):
     html = '<a href="/fileman/kalite/Formlar/FR-0001%20Ad%20R2.docx"><b>FR-0001</b>&nbsp;Ad</a><a href=\'/fileman/x.pdf\'>no</a><A class="k" HREF="https://h/fileman/a+b.PDF">\n x </A>'
     links = ingest.parse_listing(spark.createDataFrame([(1, html)], "page_id long, html string"))
-    rows = ingest.listing_columns(links).orderBy("pos").collect()
+    rows = ingest.listing_columns(links, "https://h.example").orderBy("pos").collect()
     assert [(r.name, r.ext, r.lang, r.code, r.rev, r.title, r.label) for r in rows] == [("FR-0001 Ad R2.docx", "docx", "tr", "FR-0001", 2, "Ad", "FR-0001 Ad"), ("a+b.PDF", "pdf", None, None, 0, "a+b", "x")]
     assert rows[1].url == "https://h/fileman/a+b.PDF"
 
