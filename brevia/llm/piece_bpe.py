@@ -30,7 +30,7 @@ SPACE_MARK = "▁"
 class Model:
     """Vocabulary of a SentencePiece BPE model with byte fallback, begin and end ids."""
 
-    def __init__(self, blob: bytes, cached_units: int = 300_000, cached_pairs: int = 500_000):
+    def __init__(self, blob: bytes, cached_units: int = 100_000, cached_pairs: int = 250_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
         n = sp.get_piece_size()
         self.bos, self.eos, self.cached_pairs = sp.bos_id(), sp.eos_id(), cached_pairs

@@ -21,7 +21,7 @@ from . import piece_bpe
 #: Entries that a partition's summary and the broadcast table hold at most; about 1 MB broadcast.
 SUMMARY, TABLE = 4096, 32768
 #: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 
 _state: dict = {}
 
