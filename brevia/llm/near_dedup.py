@@ -10,8 +10,9 @@ In each bucket everything is compared with two leaders, so a bucket makes two pa
 member however many it has. Pairs that pass the size bound and the likelihood estimate
 are verified on full sets, and verified links give components. Where a bucket still holds
 several components, other leaders follow, one a round, for what is not theirs. What even
-they leave apart is compared across components, each pair once, but for pairs whose sizes
-or register bits speak against it, so no pair that shares a bucket and may be linked goes untested.
+they leave apart is joined across components by the rarest shingles of full sets: two
+similar sets share one of them early, so no pair that shares a bucket and is similar goes
+untested, while near copies whose own edits hold them below the threshold do not meet.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SLACK = 6.0
 ROUNDS = 4
 #: Ids that are broadcast to the texts at most; more are joined by a shuffle. 8 bytes each.
 BROADCAST_IDS = 200_000
+#: Counters by which shingles are ordered; any order gives the same pairs, a finer one looks at fewer.
+SLOTS = 1 << 17
 
 
 def shingle_sets(column: pa.Array, n: int, lower: bool) -> list[np.ndarray]:
@@ -142,17 +145,64 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sketch").mapInArrow(work, "key long, id long")
 
 
-def _bits(classes: DataFrame) -> DataFrame:
-    """(id, n_shingles, keys, b0..b3): keys of all bands, and one bit of each register, equal for equal registers, else half the time."""
+def _sized(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _slots(sets: list[np.ndarray]) -> np.ndarray:
+    return (words.mix(np.concatenate(sets)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _commonness(texts: DataFrame, n: int, lower: bool) -> np.ndarray:
+    """How many sets' shingles fall into each of SLOTS slots; whatever the input, SLOTS numbers come to the driver."""
 
     def work(batches):
-        for ids, n, sketch in _table(batches, ["id", "n_shingles", "sketch"]):
-            bit = (words.mix(_stack(sketch).astype(np.uint64)) >> np.uint64(63)).astype(np.uint8)
-            packed = np.ascontiguousarray(np.packbits(bit, axis=1)).view(np.int64)
-            keys = pa.array(list(band_keys(_stack(sketch)).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, n, keys, *(pa.array(packed[:, k]) for k in range(4))], names=["id", "n_shingles", "keys", "b0", "b1", "b2", "b3"])
+        total = np.zeros(SLOTS, np.int64)
+        for (column,) in _table(batches, ["text"]):
+            for start, size in words.chunks(column):
+                total += np.bincount(_slots(shingle_sets(column.slice(start, size), n, lower)), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "c"])
+
+    found = texts.select("text").mapInArrow(work, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["c"].to_numpy()
+    return out
 
-    return classes.select("id", "n_shingles", "sketch").mapInArrow(work, "id long, n_shingles long, keys array<long>, b0 long, b1 long, b2 long, b3 long")
+
+def _prefixes(texts: DataFrame, common: np.ndarray, n: int, lower: bool, percent: int) -> DataFrame:
+    """(shingle, id, component, n, rest) of each set's rarest shingles; rest counts those from it on.
+
+    All sets are put into one order, rare shingles first. The first shingle that two similar
+    sets share has their whole intersection from it on, so no later one need be looked at.
+    """
+
+    def work(batches):
+        for ids, parts, column in _table(batches, ["id", "component", "text"]):
+            for start, size in words.chunks(column):
+                sets = shingle_sets(column.slice(start, size), n, lower)
+                count = np.array([len(x) for x in sets])
+                doc, flat = np.repeat(np.arange(size), count), np.concatenate(sets)
+                order = np.lexsort((flat, common[_slots(sets)], doc))
+                rest = np.repeat(np.cumsum(count), count) - np.arange(len(flat))
+                first = 100 * rest >= percent * count[doc]
+                doc, rest, flat = doc[first], rest[first], flat[order][first]
+                rows = pa.array(doc + start)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), ids.take(rows), parts.take(rows), pa.array(count[doc]), pa.array(rest)], names=["shingle", "id", "component", "n", "rest"])
+
+    return texts.select("id", "component", "text").mapInArrow(work, "shingle long, id long, component long, n long, rest long")
+
+
+def _across(texts: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle early enough to be similar."""
+    rows = saved(_prefixes(texts, _commonness(texts, n, lower), n, lower, percent))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("shingle")
+    rows = saved(rows.join(mixed, "shingle", "left_semi"))
+    left, right = (rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "rest"))) for x in "ab")
+    left = left.where((100 + percent) * F.col("rest_a") >= 2 * percent * F.col("n_a"))  # the smaller set of a pair
+    met = left.join(right.withColumnRenamed("shingle", "k"), (F.col("shingle") == F.col("k")) & (F.col("component_a") != F.col("component_b")) & (F.struct("n_a", "id_a") < F.struct("n_b", "id_b")) & ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))))
+    return met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -172,8 +222,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
-    named = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    named = _sized(saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
 
     def sets_of(batches):
         for ids, texts in _table(batches, ["id", "text"]):
@@ -254,17 +303,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         links = links.union(more)
         found = components(links)
         apart = still_apart(apart, found)
-    own = saved(apart.join(_bits(classes), "id"))
-    left, right = (own.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n_shingles", "keys", "b0", "b1", "b2", "b3"))) for x in "ab")
-    off = sum(F.bit_count(F.col(f"b{k}_a").bitwiseXOR(F.col(f"b{k}_b"))) for k in range(4))
-    share = (1 - percent / 100) / 2
-    near = (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b"))
-    near = near & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-    near = near & (off <= math.ceil(REGISTERS * share + SLACK * math.sqrt(REGISTERS * share * (1 - share))))
-    # a pair comes out of its first common band alone
-    common = F.filter(F.zip_with("keys_a", "keys_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    near = near & (F.get(common, F.lit(0)) == F.col("k_a"))
-    rest = left.withColumnRenamed("key", "k_a").join(right.withColumnRenamed("key", "k_b"), (F.col("k_a") == F.col("k_b")) & near).select("a", "b")
+    own = saved(apart.select("id", "component").distinct())
+    rest = _across(texts.join(_sized(own), "id"), shingle, lower, percent)
     more = confirmed(rest)
     same = full.join(classes.select("f1", "f2", F.col("id").alias("first")), ["f1", "f2"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     if not more.isEmpty():
