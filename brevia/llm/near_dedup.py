@@ -9,7 +9,7 @@ registers give buckets. Texts with equal sets are one class before that.
 In each bucket everything is compared with two leaders, so a bucket makes two pairs a
 member however many it has. Pairs that pass the size bound and the likelihood estimate
 are verified on full sets, and verified links give components. Where a bucket still holds
-several components, other leaders follow, one a round, for what is not theirs. What even
+several components, other leaders follow, one a round, while that settles much. What even
 they leave apart is joined across components by the rarest shingles of full sets: two
 similar sets share one of them early, so no pair that shares a bucket and is similar goes
 untested, while near copies whose own edits hold them below the threshold do not meet.
@@ -33,8 +33,8 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard deviations below the threshold at which the estimate gives a pair up.
 SLACK = 6.0
-#: Further leaders of a bucket that holds several components.
-ROUNDS = 4
+#: Further leaders of a bucket that holds several components, while a round settles this share of what was apart.
+ROUNDS, WORTH = 4, 0.1
 #: Ids that are broadcast to the texts at most; more are joined by a shuffle. 8 bytes each.
 BROADCAST_IDS = 200_000
 #: Counters by which shingles are ordered; any order gives the same pairs, a finer one looks at fewer.
@@ -302,7 +302,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
             break
         links = links.union(more)
         found = components(links)
-        apart = still_apart(apart, found)
+        before, apart = apart.count(), still_apart(apart, found)
+        if apart.count() > (1 - WORTH) * before:
+            break
     own = saved(apart.select("id", "component").distinct())
     rest = _across(texts.join(_sized(own), "id"), shingle, lower, percent)
     more = confirmed(rest)
