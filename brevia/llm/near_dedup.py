@@ -37,6 +37,8 @@ SLACK = 6.0
 ROUNDS, WORTH = 4, 0.1
 #: Ids that are broadcast to the texts at most; more are joined by a shuffle. 8 bytes each.
 BROADCAST_IDS = 200_000
+#: Rows of ids that a partition of the component rounds holds at least, where there are as many.
+ID_ROWS = 200_000
 #: Counters by which shingles are ordered; any order gives the same pairs, a finer one looks at fewer.
 SLOTS = 1 << 17
 
@@ -244,17 +246,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, percent: i
     return wide.select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long").distinct()
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A saved table of ids in no more partitions than its rows need, so that small rounds make few shuffle files."""
+    return table.coalesce(table.count() // ID_ROWS + 1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for every id in a link.
 
     Labels pass along links and jump to their label's label until none changes.
     """
-    both = saved(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct())
+    both = _few(saved(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()))
     labels = saved(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component")))
+    labels = _few(labels)
     while True:
         far = both.join(labels.select(F.col("id").alias("other"), F.col("component").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("j"))
-        new = saved(labels.join(far, "id").join(jump, "component").select("id", F.least("component", "c", "j").alias("component"), (F.least("c", "j") < F.col("component")).alias("moved")))
+        new = _few(saved(labels.join(far, "id").join(jump, "component").select("id", F.least("component", "c", "j").alias("component"), (F.least("c", "j") < F.col("component")).alias("moved"))))
         labels = new.select("id", "component")
         if new.where("moved").isEmpty():
             return labels
