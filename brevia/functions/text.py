@@ -122,20 +122,27 @@ def opens(url: Column) -> Column:
 
 def is_match(word: Column, terms: Column) -> Column:
     """Whether a word is a term, or begins with one of five characters or more (O-27)."""
-    return F.exists(terms, lambda t: (fold(word) == t) | ((F.char_length(t) >= 5) & F.startswith(fold(word), t)))
+    return let(fold(word), lambda w: F.exists(terms, lambda t: (w == t) | ((F.char_length(t) >= 5) & F.startswith(w, t))))
 
 
 def marks(text: Column, terms: Column) -> Column:
-    """array<struct<text, match>>: word and other runs, neighbouring runs without a match joined (O-28)."""
+    """array<struct<text, match>>: word and other runs, neighbouring runs without a match joined (O-28).
+
+    Linear in the text: the places where a new run begins are found first, then each stretch is joined once.
+    """
     runs = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1)), lambda r: F.struct(r.alias("text"), is_match(r, terms).alias("match")))
-    empty = F.array().cast("array<struct<text:string,match:boolean>>")
 
-    def step(done, r):
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.concat(last["text"], r["text"]).alias("text"), F.lit(False).alias("match"))))
-        return F.when((F.size(done) > 0) & ~r["match"] & ~F.coalesce(F.try_element_at(done, F.lit(-1))["match"], F.lit(True)), joined).otherwise(F.concat(done, F.array(r)))
+    def stretches(rs):
+        plain = lambda i: F.coalesce(~F.get(rs, i)["match"], F.lit(False))
+        n = F.size(rs)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: (i == 0) | ~(plain(i) & plain(i - 1)))
+        return let(F.struct(begins.alias("b")), lambda s: F.transform(s["b"], lambda i, k: stretch(rs, i, F.coalesce(F.get(s["b"], k + 1), n) - i)))
+
+    def stretch(rs, i, size):
+        return F.struct(F.array_join(F.transform(F.slice(rs, i + 1, size), lambda r: r["text"]), "").alias("text"), F.get(rs, i)["match"].alias("match"))
 
-    return F.aggregate(runs, empty, step)
+    return let(runs, stretches)
 
 
 def passage_body(passage: Column) -> Column:

@@ -144,6 +144,12 @@ def find_code(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(q).alias("code"))
 
 
+@query(f"select doc_id, {CODE('text')} as code from documents")
+def find_code_whole(spark, sf_dir):
+    """The first code of each whole text."""
+    return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(F.col("text")).alias("code"))
+
+
 @query(f"with {ASKED} select qid, code, len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0 as bare from coded where code is not null")
 def bare_code(spark, sf_dir):
     coded = fusion.with_codes(on.queries(spark, sf_dir)).where("code is not null")
@@ -171,6 +177,14 @@ def match_terms(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
 
 
+@query(f"select doc_id, len(list_filter(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+)', 1), lambda w: {FOLD('w')} in ('the', 'that', 'de') or starts_with({FOLD('w')}, 'thent'))) as n_match from documents")
+def match_terms_whole(spark, sf_dir):
+    """match_terms on all of each text."""
+    terms = F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent"))
+    runs = F.filter(T.marks(F.col("text"), terms), lambda r: r["match"])
+    return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
+
+
 @query(f"select doc_id, {BODY('text')} as body from documents")
 def passage_body(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select("doc_id", T.passage_body(F.col("text")).alias("body"))
