@@ -18,12 +18,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
-def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES) -> DataFrame:
+#: Queries that are broadcast together: 2 MB of 64 numbers each.
+BLOCK = 8192
+
+
+def blocks_of(queries: DataFrame) -> int:
+    """How many blocks of about BLOCK the queries make."""
+    return max(1, -(-queries.count() // BLOCK))
+
+
+def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES, blocks: int = 1) -> DataFrame:
     """(qid, unit, score, rank) from vectors (unit, vec) and queries (qid, vec); null query vectors rank nothing.
 
-    Every vector meets every query of the stated set, which is broadcast; negative scores stay.
+    Every vector meets every query of the stated set, which is broadcast, in so many `blocks`
+    dealt by the hash of qid, one after the other; negative scores stay.
     """
     stated = queries.where("vec is not null").select("qid", F.col("vec").alias("qvec"))
+    if blocks > 1:
+        parts = [dense_ranked(vectors, queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k), most) for k in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     return top(vectors.join(F.broadcast(stated)).select("qid", "unit", dot(F.col("vec"), F.col("qvec")).alias("score")), most)
 
 

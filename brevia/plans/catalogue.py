@@ -242,6 +242,15 @@ def dense_topk(spark, sf_dir):
     return dense.dense_ranked(vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec")), asked).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
 
 
+@query(DENSE.replace("vec_id < 5", "vec_id % 20 = 0"))
+def dense_topk_whole(spark, sf_dir):
+    """Every twentieth vector is a query, so the queries grow with the table."""
+    vectors = on.table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    units = vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec"))
+    return dense.dense_ranked(units, asked, blocks=dense.blocks_of(asked)).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     """with e as (select vec_id, embedding, label from embeddings), m as (select label, unnest(range(1, 65)) as k, embedding from e)
     select label, round(sum(embedding[k]::double) / greatest(count(*), 1e-9), 6) as x, k::int as k from m group by label, k"""

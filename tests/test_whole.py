@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
+from brevia.operators import dense
 from brevia.plans import catalogue
 
 LONG = ["x " * 400 + "The codes: FR 0083, that is late; thentic", "word " * 30_000 + "de AB-12", "the " * 5 + "of" * 300, "", "12", None]
@@ -41,3 +42,17 @@ def test_marks_join_like_one_by_one(spark):
             else:
                 expected.append((run, match))
         assert [tuple(x) for x in r.m] == expected
+
+
+def test_every_twentieth_vector_is_asked(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    vectors = [[rnd.uniform(-1, 1) for _ in range(3)] for _ in range(230)]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = {}
+    for q in range(0, 230, 20):
+        scored = sorted((-round(sum(x * y for x, y in zip(vectors[q], v)), 9), k) for k, v in enumerate(vectors))
+        expected |= {(q, rank): k for rank, (_, k) in enumerate(scored[:200])}
+    for block in (8192, 5):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        rows = catalogue.QUERIES["dense_topk_whole"](spark, str(tmp_path)).collect()
+        assert len(rows) == 12 * 200 and {(r.qid, r["rank"]): r.unit for r in rows} == expected
