@@ -39,10 +39,17 @@ def corpus(spark: SparkSession, sf_dir: str, dense: bool = True) -> fusion.Corpu
     return fusion.corpus(docs(spark, sf_dir), chunks if dense else chunks.drop("vec"))
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, query, vec): the first 40 characters of each benchmark text, every third led by a code, and a vector."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 40).alias("q"))
-    text = F.when(F.col("qid") % 3 == 0, F.concat(F.lit("fr "), F.lpad((F.col("qid") % 400).cast("string"), 4, "0"), F.when(F.col("qid") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("q"))))).otherwise(F.col("q"))
+def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(qid, query, vec): the first 40 characters of each benchmark text, every third led by a code, and a vector.
+
+    whole: all of each text, and no query without its text.
+    """
+    text = F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 40)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("q"))
+    after = F.concat(F.lit(" "), F.col("q"))
+    if not whole:
+        after = F.when(F.col("qid") % 2 == 0, F.lit("")).otherwise(after)
+    text = F.when(F.col("qid") % 3 == 0, F.concat(F.lit("fr "), F.lpad((F.col("qid") % 400).cast("string"), 4, "0"), after)).otherwise(F.col("q"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     return items.select("qid", text.alias("query")).join(vecs, "qid", "left")
 

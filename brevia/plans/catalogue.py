@@ -69,6 +69,10 @@ DOCS = """docs as (select doc_id as doc, 'FR-' || lpad((doc_id % 400)::varchar,
 ASKED = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || case when item_id % 2 = 0 then '' else ' ' || left(text, 40) end else left(text, 40) end as query from benchmark),
   coded as (select *, {TOKENS('query')} as tokens, {CODE('query')} as code from asked)"""
 
+#: The same with all of each text.
+ASKED_WHOLE = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || ' ' || coalesce(text, '') else coalesce(text, '') end as query from benchmark),
+  coded as (select *, {TOKENS('query')} as tokens, {CODE('query')} as code from asked)"""
+
 
 def FIELD(name, source, unit, text):
     return f"""{name}_u as (select {unit} as unit, {TOKENS(text)} as tokens from {source}),
@@ -156,6 +160,12 @@ def bare_code(spark, sf_dir):
     return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
 
 
+@query(f"with {ASKED_WHOLE} select qid, code, len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0 as bare from coded where code is not null")
+def bare_code_whole(spark, sf_dir):
+    coded = fusion.with_codes(on.queries(spark, sf_dir, whole=True)).where("code is not null")
+    return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
+
+
 @query(rf"""select page_id, {PERCENT("url || ' ü/ş%20'", r"A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%")} as encoded from pages""")
 def encode_url(spark, sf_dir):
     return on.table(spark, sf_dir, "pages").select("page_id", T.encode_url(F.concat("url", F.lit(" ü/ş%20"))).alias("encoded"))
@@ -225,12 +235,26 @@ def bm25_topk(spark, sf_dir):
     return out.select("qid", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {ASKED_WHOLE}, {TERMS('coded')}, {BODY_FIELD}, {RANKED('body')} select qid, unit as doc_id, round(score, 6) as score, rank from body_r")
+def bm25_topk_whole(spark, sf_dir):
+    """Every term of the benchmark texts is a query term."""
+    f = lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = lexical.ranked(f, lexical.query_terms(on.queries(spark, sf_dir, whole=True)))
+    return out.select("qid", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"with {DOCS}, {ASKED}, {TERMS('coded')}, {FIELD('title', 'docs', 'doc', 'title')}, {COVER} select qid, unit as doc, round(coverage, 6) as coverage from cover")
 def title_coverage(spark, sf_dir):
     f = lexical.field(on.docs(spark, sf_dir), "doc", "title")
     return lexical.coverage(f, lexical.query_terms(on.queries(spark, sf_dir))).select("qid", F.col("unit").alias("doc"), F.round("coverage", 6).alias("coverage"))
 
 
+@query(f"with {DOCS}, {ASKED_WHOLE}, {TERMS('coded')}, {FIELD('title', 'docs', 'doc', 'title')}, {COVER} select qid, unit as doc, round(coverage, 6) as coverage from cover")
+def title_coverage_whole(spark, sf_dir):
+    f = lexical.field(on.docs(spark, sf_dir), "doc", "title")
+    return lexical.coverage(f, lexical.query_terms(on.queries(spark, sf_dir, whole=True))).select("qid", F.col("unit").alias("doc"), F.round("coverage", 6).alias("coverage"))
+
+
 DENSE = """with d as (select q.vec_id as qid, v.vec_id as unit, list_dot_product(v.embedding::double[], q.embedding::double[]) as score from embeddings v, (select * from embeddings where vec_id < 5) q)
   select qid, unit, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from d qualify rank < 200"""
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from brevia.functions import text as T
 from brevia.operators import dense
-from brevia.plans import catalogue
+from brevia.plans import bindings, catalogue
 
 LONG = ["x " * 400 + "The codes: FR 0083, that is late; thentic", "word " * 30_000 + "de AB-12", "the " * 5 + "of" * 300, "", "12", None]
 
 
 def documents(spark, path, texts):
-    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
     return str(path)
 
 
@@ -56,3 +56,19 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(dense, "BLOCK", block)
         rows = catalogue.QUERIES["dense_topk_whole"](spark, str(tmp_path)).collect()
         assert len(rows) == 12 * 200 and {(r.qid, r["rank"]): r.unit for r in rows} == expected
+
+
+def test_queries_are_whole_texts(spark, sf):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r.qid: r.query for r in bindings.queries(spark, sf, whole=True).collect()}
+    assert got == {k: f"fr {k % 400:04d} {t}" if k % 3 == 0 else t for k, t in texts.items()}
+    assert min(map(len, texts.values())) > 40
+
+
+def test_late_query_terms_count(spark, tmp_path):
+    late = "a b c d e f g h i j k l m n o p q r s t u v w x y z quince"
+    documents(spark, tmp_path, ["nothing", "one quince here"])
+    spark.createDataFrame([(1, late)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r.doc_id for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()] == [1]
+    assert [(r.doc, r.coverage) for r in catalogue.QUERIES["title_coverage_whole"](spark, str(tmp_path)).collect()] == [(1, 1.0)]
