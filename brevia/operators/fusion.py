@@ -18,16 +18,20 @@ NO_CODE = "ZZ-9999"
 
 @dataclass
 class Corpus:
-    """docs(doc, id, code, lang, title, ...), chunks(chunk, doc, ord, text[, vec]) and the statistics of both fields."""
+    """docs(doc, id, code, lang, title, ...), chunks(chunk, doc, ord, text[, vec]) and the statistics of both fields.
+
+    vectors(unit, chunk, doc, vec), if given, are searched in place of the vec of chunks: a passage may have several.
+    """
 
     docs: DataFrame
     chunks: DataFrame
     body: lexical.Field
     title: lexical.Field
+    vectors: DataFrame | None = None
 
 
-def corpus(docs: DataFrame, chunks: DataFrame) -> Corpus:
-    return Corpus(docs, chunks, lexical.field(chunks, "chunk", "text", keep=True), lexical.field(docs, "doc", "title", keep=True))
+def corpus(docs: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> Corpus:
+    return Corpus(docs, chunks, lexical.field(chunks, "chunk", "text", keep=True), lexical.field(docs, "doc", "title", keep=True), vectors)
 
 
 def with_codes(queries: DataFrame) -> DataFrame:
@@ -57,6 +61,22 @@ def fused(*parts: DataFrame) -> DataFrame:
     return out.groupBy("qid", "doc").agg(F.sum("score").alias("score"))
 
 
+def passage_lists(c: Corpus, terms: DataFrame, open_: DataFrame) -> DataFrame:
+    """(qid, doc, unit, rank, list) of the passages in the BM25 list (1) and, where queries and passages have vectors, the dense list (2)."""
+    where = c.chunks.select(F.col("chunk").alias("unit"), "doc")
+    ranked = lexical.ranked(c.body, terms).join(where, "unit").select("qid", "doc", "unit", "rank", F.lit(1).alias("list"))
+    if "vec" not in open_.columns:
+        return ranked
+    if c.vectors is not None:
+        near = dense.dense_ranked(c.vectors.select("unit", "vec"), open_).join(c.vectors.select("unit", "chunk", "doc"), "unit")
+        near = near.groupBy("qid", "doc", F.col("chunk").alias("unit")).agg(F.min("rank").alias("rank"))
+    elif "vec" in c.chunks.columns:
+        near = dense.dense_ranked(c.chunks.select(F.col("chunk").alias("unit"), "vec"), open_).join(where, "unit")
+    else:
+        return ranked
+    return ranked.unionByName(near.select("qid", "doc", "unit", "rank", F.lit(2).alias("list")))
+
+
 def search(c: Corpus, queries: DataFrame, sort: str = "relevance", limit: int = PAGE) -> DataFrame:
     """(qid, position, doc, score, why, snippet, passages) of each query's page.
 
@@ -74,12 +94,7 @@ def search(c: Corpus, queries: DataFrame, sort: str = "relevance", limit: int =
 
     titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
     covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
-    where = c.chunks.select(F.col("chunk").alias("unit"), "doc")
-    lists = [lexical.ranked(c.body, terms).join(where, "unit").select("qid", "doc", "unit", "rank", F.lit(1).alias("list"))]
-    if "vec" in queries.columns and "vec" in c.chunks.columns:
-        near = dense.dense_ranked(c.chunks.select(F.col("chunk").alias("unit"), "vec"), open_)
-        lists.append(near.join(where, "unit").select("qid", "doc", "unit", "rank", F.lit(2).alias("list")))
-    ranked = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+    ranked = passage_lists(c, terms, open_)
     by_list = ranked.groupBy("qid", "doc", "list").agg(F.min("rank").alias("rank")).select("qid", "doc", contribution().alias("score"))
     scores = fused(covered.select("qid", "doc", (TITLE_WEIGHT * F.col("coverage") * F.col("coverage")).alias("score")), by_list)
     rest = scores.join(hits, ["qid", "doc"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia.operators import fusion
+from brevia.operators import chunking, fusion
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,28 @@ def corpus(spark: SparkSession, sf_dir: str, dense: bool = True) -> fusion.Corpu
     return fusion.corpus(docs(spark, sf_dir), chunks if dense else chunks.drop("vec"))
 
 
+#: Numbers kept for the passages of a document.
+ROOM = 64
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk, doc, ord, text): the documents' titled windows; chunk is doc * ROOM + ord."""
+    return chunking.chunk(docs(spark, sf_dir)).select((F.col("doc") * ROOM + F.col("ord")).alias("chunk"), "doc", "ord", "text")
+
+
+def vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """(unit, chunk, doc, vec): five vectors a document, one for each of its first passages; what is over goes to its last."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit"), F.floor(F.col("vec_id") / 5).alias("doc"), F.col("embedding").alias("vec"))
+    last = chunks.groupBy("doc").agg(F.max("ord").alias("last"))
+    return own.join(last, "doc").select("unit", (F.col("doc") * ROOM + F.least(F.col("unit") % 5, F.col("last"))).alias("chunk"), "doc", "vec")
+
+
+def passage_corpus(spark: SparkSession, sf_dir: str) -> fusion.Corpus:
+    """The documents as passages, which are cached: several lists read them."""
+    chunks = passages(spark, sf_dir).persist()
+    return fusion.corpus(docs(spark, sf_dir), chunks, vectors(spark, sf_dir, chunks))
+
+
 def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """(qid, query, vec): the first 40 characters of each benchmark text, every third led by a code, and a vector.
 

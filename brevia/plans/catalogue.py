@@ -351,10 +351,11 @@ def resolve_doc(spark, sf_dir):
 
 # --- passages and index ---
 
-CUTS = f"""with recursive d as (select doc_id, trim(text, {WHITE}) as body from documents),
+CUT = f"""with recursive d as (select doc_id, trim(text, {WHITE}) as body from documents),
   cut as (select doc_id, body, 0 as s, case when length(body) <= 900 then length(body) when position(chr(10) in reverse(substr(body, 451, 450))) > 0 then 900 - position(chr(10) in reverse(substr(body, 451, 450))) else 900 end as e, 1 as ord from d where body <> ''
     union all select doc_id, body, s2, case when s2 + 900 >= length(body) then length(body) when position(chr(10) in reverse(substr(body, s2 + 451, 450))) > 0 then s2 + 900 - position(chr(10) in reverse(substr(body, s2 + 451, 450))) else s2 + 900 end, ord + 1
-    from (select *, greatest(e - 150, s + 1) as s2 from cut where e < length(body) and ord + 1 < 40)),
+    from (select *, greatest(e - 150, s + 1) as s2 from cut where e < length(body) and ord + 1 < 40))"""
+CUTS = f"""{CUT},
   chunks as (select doc_id as doc, 0 as ord, 'T' as text from documents union all select doc_id, ord, 'T' || chr(10) || trim(substr(body, s + 1, e - s), {WHITE}) from cut)"""
 
 
@@ -385,6 +386,83 @@ def corpus_stats(spark, sf_dir):
     return n.join(F.broadcast(on.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("chunks")))).select("documents", "chunks", F.lit("2024-01-01").alias("built"), F.lit("test").alias("source"))
 
 
+# --- search over passages, with whole benchmark texts as queries ---
+
+#: As SEARCH: a document counts with its best passage in a list; each vector belongs to a passage of document vec_id // 5.
+SEARCH_WHOLE = f"""{CUT}, {DOCS}, {ASKED_WHOLE},
+  chunks as materialized (select doc * 64 as chunk, doc, 0 as ord, coalesce(title, '') as text from docs union all select doc * 64 + ord, doc, ord, title || chr(10) || trim(substr(body, s + 1, e - s), {WHITE}) from cut join docs on doc = doc_id),
+  hits as (select qid, doc from coded join docs using (code)),
+  bare_q as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
+  open_q as (select * from coded where qid not in (select qid from bare_q)),
+  {TERMS('open_q')}, {FIELD('title', 'docs', 'doc', 'title')}, {FIELD('body', 'chunks', 'chunk', 'text')}, {RANKED('title')}, {RANKED('body')}, {COVER},
+  vecs as (select vec_id as unit, doc, doc * 64 + least(vec_id % 5, last) as chunk, embedding from embeddings join (select doc, max(ord) as last from chunks group by doc) on doc = vec_id // 5),
+  dense_s as (select q.qid, v.unit, v.doc, v.chunk, list_dot_product(v.embedding::double[], e.embedding::double[]) as score from open_q q join embeddings e on e.vec_id = q.qid, vecs v),
+  dense_r as (select *, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from dense_s qualify rank < 200),
+  lists as materialized (select qid, doc, unit as chunk, rank, 1 as list from body_r join chunks on chunk = unit union all select qid, doc, chunk, min(rank), 2 from dense_r group by qid, doc, chunk),
+  fused as (select qid, doc, sum(s) as score from (select c.qid, c.unit as doc, 0.2 * coverage * coverage as s from cover c join title_r r on r.qid = c.qid and r.unit = c.unit
+    union all select qid, doc, 1 / (61.0::double + min(rank)) from lists group by qid, doc, list) group by qid, doc),
+  every as (select qid, doc, 'infinity'::double as score, 'code' as why from hits union all select qid, doc, score, 'match' from fused f where not exists (select 1 from hits h where h.qid = f.qid and h.doc = f.doc))"""
+
+#: The best three passages of each match of the page, and all pages with them.
+PASSED = """parts as (select qid, doc, chunk, 1 / (61.0::double + rank) as part, list * 1000 + rank as seq from lists union all select qid, unit, unit * 64, 0, 0 from title_r),
+  summed as (select qid, doc, chunk, sum(part) as part, min(seq) as seq from parts group by qid, doc, chunk),
+  best as (select *, row_number() over (partition by qid, doc order by round(part, 9) desc, seq) as n from summed qualify n <= 3),
+  passed as (select qid, doc, string_agg(text, chr(10) order by n) as passages, count(*) as n, max(text) filter (where n = 1) as snippet from best b join chunks using (doc, chunk) where (qid, doc) in (select (qid, doc) from page where why = 'match') group by qid, doc)"""
+
+
+def PAGE_WHOLE(order):
+    return PAGE(order).replace(SEARCH, SEARCH_WHOLE)
+
+
+def found_whole(spark, sf_dir, sort="relevance"):
+    return fusion.search(on.passage_corpus(spark, sf_dir), on.queries(spark, sf_dir, whole=True), sort=sort)
+
+
+@query(f"{SEARCH_WHOLE} select qid, doc, round(score, 6) as score from fused")
+def fusion_rrf_whole(spark, sf_dir):
+    c, coded = on.passage_corpus(spark, sf_dir), fusion.with_codes(on.queries(spark, sf_dir, whole=True))
+    hits = fusion.code_hits(c.docs, coded)
+    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
+    open_ = coded.join(only, "qid", "left_anti")
+    terms = lexical.query_terms(open_)
+    titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
+    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
+    lists = fusion.passage_lists(c, terms, open_).groupBy("qid", "doc", "list").agg(F.min("rank").alias("rank")).select("qid", "doc", fusion.contribution().alias("score"))
+    return fusion.fused(covered.select("qid", "doc", (fusion.TITLE_WEIGHT * F.col("coverage") ** 2).alias("score")), lists).select("qid", "doc", F.round("score", 6).alias("score"))
+
+
+@query(f"{PAGE_WHOLE('')} {SHOWN}")
+def hybrid_search_whole(spark, sf_dir):
+    return shown(found_whole(spark, sf_dir))
+
+
+@query(f"{PAGE_WHOLE('')} select qid, doc, position from page where why = 'code'")
+def code_search_pinned_whole(spark, sf_dir):
+    return found_whole(spark, sf_dir).where("why = 'code'").select("qid", "doc", "position")
+
+
+@query(f"{PAGE_WHOLE('code,')} {SHOWN}")
+def sort_by_code_whole(spark, sf_dir):
+    return shown(found_whole(spark, sf_dir, "code"))
+
+
+@query(f"{PAGE_WHOLE(TOKENS('title') + ',')} {SHOWN}")
+def sort_by_title_whole(spark, sf_dir):
+    return shown(found_whole(spark, sf_dir, "title"))
+
+
+@query(f"{PAGE_WHOLE('')}, {PASSED} select page.qid, page.doc, coalesce(md5(passages), '') as passages, coalesce(n, 0) as n from page left join passed on passed.qid = page.qid and passed.doc = page.doc")
+def passages_top3_whole(spark, sf_dir):
+    out = found_whole(spark, sf_dir)
+    text = F.when(F.size("passages") == 0, "").otherwise(F.md5(F.array_join("passages", "\n")))
+    return out.select("qid", "doc", text.alias("passages"), F.size("passages").cast("long").alias("n"))
+
+
+@query(f"{PAGE_WHOLE('')}, {PASSED} select page.qid, page.doc, md5(coalesce(snippet, title, '')) as snippet from page join docs using (doc) left join passed on passed.qid = page.qid and passed.doc = page.doc")
+def first_chunk_snippet_whole(spark, sf_dir):
+    return found_whole(spark, sf_dir).select("qid", "doc", F.md5("snippet").alias("snippet"))
+
+
 # --- ingest ---
 
 LINK = r"(?is)<a\b[^>]*?href=\"([^\"]*th[^\"]*)\"[^>]*>(.*?)</a>"

@@ -72,3 +72,15 @@ def test_late_query_terms_count(spark, tmp_path):
     spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [r.doc_id for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()] == [1]
     assert [(r.doc, r.coverage) for r in catalogue.QUERIES["title_coverage_whole"](spark, str(tmp_path)).collect()] == [(1, 1.0)]
+
+
+def test_passages_of_long_documents(spark, sf):
+    c = bindings.passage_corpus(spark, sf)
+    per = {r.doc: r.n for r in c.chunks.groupBy("doc").agg(F.count("*").alias("n")).collect()}
+    assert max(per.values()) > 4 and max(r.n for r in c.chunks.select(F.char_length("text").alias("n")).collect()) <= 900 + 81
+    found = c.vectors.select("unit", "doc", "chunk").collect()
+    assert len(found) == spark.read.parquet(f"{sf}/embeddings.parquet").where(F.floor(F.col("vec_id") / 5).isin(list(per))).count()
+    assert all(r.doc == r.unit // 5 == r.chunk // bindings.ROOM and r.chunk % bindings.ROOM == min(r.unit % 5, per[r.doc] - 1) for r in found)
+    rows = catalogue.QUERIES["passages_top3_whole"](spark, sf).collect()
+    assert {r.n for r in rows} >= {2, 3} and max(r.n for r in rows) == 3
+    spark.catalog.clearCache()
