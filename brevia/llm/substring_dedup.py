@@ -120,7 +120,9 @@ def _pack(shards: int, window: int):
         order = np.lexsort((place, ids, content, least))
         first = np.ones(len(order), bool)
         first[1:] = (content[order[1:]] != content[order[:-1]]) | (least[order[1:]] != least[order[:-1]]) | (size[order[1:]] != size[order[:-1]])
-        again = order[~first]
+        # a row that is repeated under its id has the place of the first: like in _index, that is no repeat
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        again = order[~first & ((ids[order] != ids[head]) | (place[order] != place[head]))]
         order = order[first]
         if len(again):
             ranges = _group_ranges(ids[again], place[again], place[again] + size[again])
@@ -274,7 +276,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words also start earlier: in a row of smaller id, or earlier in the same row. What is kept
     is joined by one space. Windows are judged on the input alone. A null text has no words;
     texts shorter than a window stay whole. Rows with a null id have no order: they stay whole
-    and make nothing a repeat. Rows that share an id share what is found for it. An empty
+    and make nothing a repeat. Rows that share an id share what is found for it, and a place of
+    one is no repeat of the same place of another: a row given twice is kept twice. An empty
     table gives no rows. Only these two columns are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -163,3 +163,13 @@ def test_word_arrays():
     w = words.words(column)
     assert np.diff(w.first).tolist() == [2, 0, 0, 2, 2] and (w.hash[:2] == w.hash[4:]).all()
     assert [n for _, n in words.chunks(column, 4)] == [2, 1, 1, 1] or sum(n for _, n in words.chunks(column, 4)) == 5
+
+
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_repeated_rows_keep_their_words(spark, partitions):
+    own, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, own), (7, own), (2, other + " " + other)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows + rows, partitions), "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == partitions
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(2, 60, 30)] * 2 + [(5, 60, 0)] * 2 + [(7, 60, 60)] * 2
