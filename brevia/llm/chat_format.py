@@ -109,6 +109,33 @@ def with_context(examples: DataFrame) -> DataFrame:
     return rows.select("conv_id", "block", "example", "turn", context.alias("context"), F.concat("reply", "tail").alias("target"), F.char_length(context).alias("loss_start"), F.char_length("reply").alias("loss_length"))
 
 
+def from_contexts(examples: DataFrame) -> DataFrame:
+    """The columns of whole(), from the examples of with_context(): replies are cut out of context + target by their loss spans.
+
+    Every context must begin with the example before it, or the query fails; so each example
+    gives what it adds to the transcript, and turns after the last example come from expand().
+    """
+    from pyspark.sql import Window
+
+    rows = with_context(examples).withColumn("s", F.concat("context", "target"))
+    last = F.coalesce(F.lag("s").over(Window.partitionBy("conv_id").orderBy("block", "example")), F.lit(""))
+    rows = rows.withColumn("last", last).select(
+        "conv_id",
+        "block",
+        "example",
+        F.when(F.startswith("context", "last"), F.col("s").substr(F.char_length("last") + 1, F.char_length("s"))).otherwise(F.raise_error(F.lit("a context does not begin with the example before it")).cast("string")).alias("s"),
+        F.col("s").substr(F.col("loss_start") + 1, F.col("loss_length")).alias("reply"),
+    )
+    rows = rows.unionByName(examples.where("reply is null").select("conv_id", "block", "example", F.col("delta").alias("s"), F.lit(None).cast("string").alias("reply")))
+    joined = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "example", "s", "reply"))).alias("p"))
+    # context of a later example already holds a row without a reply
+    end = F.array_max(F.transform(F.filter("p", lambda x: x["reply"].isNotNull()), lambda x: F.struct(x["block"], x["example"])))
+    joined = joined.withColumn("end", end)
+    kept = F.filter("p", lambda x: x["reply"].isNotNull() | F.col("end").isNull() | (F.struct(x["block"], x["example"]) > F.col("end")))
+    replies = F.filter(F.transform("p", lambda x: x["reply"]), lambda r: r.isNotNull())
+    return joined.select("conv_id", F.array_join(F.transform(kept, lambda x: x["s"]), "").alias("formatted"), replies.alias("replies")).withColumn("n_examples", F.size("replies"))
+
+
 def read_back(wholes: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, replies, formatted_chars) parsed from whole()'s strings."""
     parts = F.slice(F.split("formatted", r"<\|im_end\|>\n"), 1, F.greatest(F.size(F.split("formatted", r"<\|im_end\|>\n")) - 1, F.lit(0)))

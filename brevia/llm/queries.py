@@ -23,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    back = chat_format.read_back(chat_format.whole(chat_format.expand(turns)))
+    back = chat_format.read_back(chat_format.from_contexts(chat_format.expand(turns)))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join("replies", "")
     return back.select(

@@ -164,3 +164,25 @@ def test_pipeline(spark, sf):
     a = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     b = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in pipeline.run(spark, sf).collect()}
     assert a == b and 0 < len(a) < 200
+
+
+def test_contexts_over_blocks(spark):
+    """Conversations of several blocks, some with blocks without a reply or turns after the last one."""
+    rnd = random.Random(6)
+    rows = [(c, t, "user" if c == 3 or (c == 2 and t < 130) or t > 190 else rnd.choice(["user", "assistant"]), rnd.choice(["x", "a<|im_end|>", "", "\\ é\n"])) for c in (1, 2, 3) for t in range(200)]
+    examples = chat_format.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    escaped = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+    expected = {}
+    for c in (1, 2, 3):
+        said = ""
+        for _, t, role, text in sorted(r for r in rows if r[0] == c):
+            head = said + f"<|im_start|>{role}\n"
+            said = head + escaped(text) + "<|im_end|>\n"
+            if role == "assistant":
+                expected[c, t] = (head, said[len(head) :], len(head), len(escaped(text)))
+        expected[c] = said
+    full = {(r.conv_id, r.turn): (r.context, r.target, r.loss_start, r.loss_length) for r in chat_format.with_context(examples).collect()}
+    assert full == {k: v for k, v in expected.items() if isinstance(k, tuple)}
+    got = {r.conv_id: r for r in chat_format.from_contexts(examples).collect()}
+    whole = {r.conv_id: r for r in chat_format.whole(examples).collect()}
+    assert got == whole and {c: r.formatted for c, r in got.items()} == {c: expected[c] for c in (1, 2, 3)}
