@@ -198,3 +198,57 @@ def test_lines_go_from_every_site(spark, sf, tmp_path):
         kept = [x for x in text if x != "menu"]
         assert (r.n_lines, r.n_dropped, r.kept_sha256) == (len(text), len(text) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     assert queries.op7_line_dedup_whole(spark, sf).where("n_dropped > 0").count() > 0
+
+
+def test_pipeline_by_brute_force(spark, model, tmp_path):
+    """Stages 2 to 5 in plain Python, given the classifier's scores, on rows of which each stage takes some."""
+    import sentencepiece
+
+    import corpus_pipeline as pipeline
+
+    from .test_duplicates import brute_components
+
+    rnd = random.Random(7)
+    good = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rnd.choice(good) for _ in range(n))
+    items = [(k, prose(25)) for k in range(3)]
+    texts = [" ".join(rnd.choice(["$$$", "!!!", "WIN", "click", "#1", "now!"]) for _ in range(40)) for _ in range(40)]
+    texts += ["\n".join([prose(rnd.randint(10, 40)), prose(20)]) for _ in range(120)]
+    texts += [t + " " + rnd.choice(good) for t in texts[60:70]] + [texts[75], prose(12), "one\n\n two"]
+    texts += [texts[-2] + "\n menu home contact"]  # like the text two before once its line is gone
+    texts += [prose(15) + " " + (t[:40] + "zz" + t[42:]).upper() + " " + prose(15) for _, t in items]
+    texts = [t + "\nmenu home contact" if 60 <= k < 160 and k % 3 == 0 else t for k, t in enumerate(texts)]
+    docs = [(k, t, "en", "ab"[k % 2], len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k >= 40), 0) for k in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = quality_classifier.fit(frame, queries.learning_labels(spark, str(tmp_path)))
+    scores = {r.doc_id: r.score for r in quality_classifier.score(frame, weights).collect()}
+    left = [{k: t for k, t in enumerate(texts) if scores[k] >= 0.7}]
+
+    pages = {s: [k for k in left[-1] if "ab"[k % 2] == s] for s in "ab"}
+    counts = {s: {} for s in "ab"}
+    for s in "ab":
+        for k in pages[s]:
+            for line in {x.strip() for x in left[-1][k].split("\n")} - {""}:
+                counts[s][line] = counts[s].get(line, 0) + 1
+    stays = lambda k, x: (c := counts["ab"[k % 2]].get(x.strip(), 0)) < 10 or c <= 0.1 * len(pages["ab"[k % 2]])
+    left.append({k: "\n".join(x for x in t.split("\n") if stays(k, x)) for k, t in left[-1].items()})
+
+    ids = sorted(left[-1])
+    roots, _ = brute_components([left[-1][k] for k in ids], 5)
+    left.append({k: left[-1][k] for n, k in enumerate(ids) if roots[n] == n})
+
+    passages = decontaminate.Passages(items)
+    leaks = lambda t: len(c := decontaminate.codes(t)) and any(semi_global(p, c) <= b for p, b in zip(passages.codes, passages.budget))
+    left.append({k: t for k, t in left[-1].items() if not leaks(t)})
+
+    assert len(texts) > len(left[0]) == len(left[1]) > len(left[2]) > len(left[3]) > 80
+    assert sum(left[0][k] != left[1][k] for k in left[1]) > 20
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    tokens = {k: sp.encode(t, add_bos=True, add_eos=True) for k, t in left[3].items()}
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(tokens) and {r.doc_id: list(r.ids) for r in got} == tokens
+    assert {r.doc_id: r.text for r in got} == {k: sp.decode(x) for k, x in tokens.items()}
