@@ -251,6 +251,17 @@ def _few(table: DataFrame) -> DataFrame:
     return table.coalesce(table.count() // ID_ROWS + 1)
 
 
+def _forest(links: DataFrame) -> DataFrame:
+    """(id, component) of links (a, b) with b < a and one link an a: the root that a's chain of links ends in."""
+    labels = _few(saved(links.select(F.col("a").alias("id"), F.col("b").alias("component"))))
+    while True:
+        over = labels.select(F.col("id").alias("component"), F.col("component").alias("j"))
+        new = _few(saved(labels.join(over, "component", "left").select("id", F.coalesce("j", "component").alias("component"), F.col("j").isNotNull().alias("moved"))))
+        labels = new.select("id", "component")
+        if new.where("moved").isEmpty():
+            return labels
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links (a, b) reach, for every id in a link.
 
@@ -268,6 +279,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (id, component of a lower id) with the components joined that links (a, b) connect.
+
+    Links are taken between components, each pair once, so that rounds handle what is new in them alone.
+    """
+    of = [found.select(F.col("id").alias(x), F.col("component").alias(y)) for x, y in ("ax", "by")]
+    ends = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b").distinct()
+    ends = saved(ends)
+    if ends.isEmpty():
+        return found
+    moved = components(ends).where("id != component")
+    over = moved.select(F.col("id").alias("component"), F.col("component").alias("c"))
+    return _few(saved(found.join(over, "component", "left").select("id", F.coalesce("c", "component").alias("component")).union(moved)))
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row.
 
@@ -283,9 +309,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     classes = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("c")).select("f1", "f2", "c.*")
     classes = saved(classes)
     buckets = _buckets(classes)
-    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.min_by("id", F.xxhash64("id")).alias("any"), F.count("*").alias("c")).where("c > 1").drop("c")
+    leads = buckets.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = saved(buckets.join(leads, "key"))
-    pairs = met.select(F.explode(F.array(*(F.struct(F.greatest("id", x).alias("a"), F.least("id", x).alias("b")) for x in ("low", "any")))).alias("p")).select("p.*").where("a != b").distinct()
+    # one pair a class: with the lowest of all that share a bucket with it
+    pairs = met.groupBy("id").agg(F.min("low").alias("b")).where("b < id").select(F.col("id").alias("a"), "b")
     texts = rows.where("id is not null")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -297,32 +324,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         mixed = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
         return saved(now.join(mixed, "key"))
 
-    links = confirmed(pairs)
-    found = components(links)
+    found = _forest(confirmed(pairs))
     apart = still_apart(met, found)
     for k in range(ROUNDS):
         # a leader of the bucket's largest component, another in every bucket, for what is not in it
         sides = apart.groupBy("key", "component").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias("lead"), F.count("*").alias("c"))
         leads = sides.groupBy("key").agg(F.max_by("lead", "c").alias("lead"), F.max_by("component", "c").alias("its"))
-        pairs = apart.join(leads, "key").where("component != its").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+        led = apart.join(leads, "key").where("component != its").groupBy("id", "its").agg(F.min("lead").alias("lead"))
+        pairs = led.select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
         more = confirmed(pairs)
         if more.isEmpty():
             break
-        links = links.union(more)
-        found = components(links)
+        found = _merged(found, more)
         before, apart = apart.count(), still_apart(apart, found)
         if apart.count() > (1 - WORTH) * before:
             break
     own = saved(apart.select("id", "component").distinct())
-    rest = _across(texts.join(_sized(own), "id"), shingle, lower, percent)
-    more = confirmed(rest)
+    found = _merged(found, confirmed(_across(texts.join(_sized(own), "id"), shingle, lower, percent)))
     same = full.join(classes.select("f1", "f2", F.col("id").alias("first")), ["f1", "f2"]).where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    if not more.isEmpty():
-        found = components(links.union(more))
     # ids of a class follow its first; an id with several texts joins their classes
     split = base.groupBy("id").agg(F.countDistinct("f1", "f2").alias("k")).where("k > 1 and id is not null")
     if not split.isEmpty():
-        found = components(links.union(more).union(same))
+        found = _merged(found, same)
     member = same.join(found.select(F.col("id").alias("b"), "component"), "b", "left").groupBy("a").agg(F.min(F.coalesce("component", "b")).alias("component"))
     every = found.union(member.select(F.col("a").alias("id"), "component")).groupBy("id").agg(F.min("component").alias("component_id"))
     out = base.select("id", "n_shingles").join(every, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
