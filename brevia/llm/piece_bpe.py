@@ -11,8 +11,8 @@ ids are read from the table backwards.
 
 Texts are cut into units first: no piece has white space after other characters, and
 none joins a newline to anything, so no merge crosses these borders (checked when the
-model is loaded; a model that breaks a rule is refused). Each unit is encoded once
-and kept in a bounded cache of the worker process.
+model is loaded; a model that breaks a rule is refused). Encoded units are kept in a
+bounded cache, which a task gives back when it ends.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ import sentencepiece
 
 #: SentencePiece writes a space as this character.
 SPACE_MARK = "▁"
+#: Rank of a merge that never happens.
+NEVER = float("inf")
 
 
 class Model:
     """Vocabulary of a SentencePiece BPE model with byte fallback, begin and end ids."""
 
-    def __init__(self, blob: bytes, cached_units: int = 100_000, cached_pairs: int = 250_000):
+    def __init__(self, blob: bytes, cached_units: int = 100_000, cached_pairs: int = 150_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
         n = sp.get_piece_size()
         self.bos, self.eos, self.cached_pairs = sp.bos_id(), sp.eos_id(), cached_pairs
@@ -50,7 +52,7 @@ class Model:
         self.code = [i.to_bytes(4, "little") for i in range(n)]
         self.unit_ids = _UnitCache(self.encode_unit, cached_units)
         self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._traces: dict[int, tuple | None] = {}
 
     def _check(self, sp, special: set[int]) -> None:
         multi = [p for p in self.ids if len(p) > 1]
@@ -79,37 +81,76 @@ class Model:
         found.make_automaton()
         return found
 
-    def merged(self, text: str) -> list[int]:
-        """BPE of a short text by its definition: the best-ranked neighbours merge, leftmost first."""
+    def merges(self, text: str):
+        """BPE of a short text by its definition: the best-ranked neighbours merge, leftmost first.
+
+        Gives (rank of the next merge, parts before it); a rank of infinity when nothing merges any more.
+        """
         parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = None, -1
+        while True:
+            best, at = NEVER, -1
             for k in range(len(parts) - 1):
-                r = rank.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r < best):
+                r = rank.get(parts[k] + parts[k + 1], NEVER)
+                if r < best:
                     best, at = r, k
-            if best is None:
-                break
+            yield best, parts
+            if at < 0:
+                return
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def merged(self, text: str) -> list[int]:
+        for _, parts in self.merges(text):
+            pass
         return [self.ids[p] for p in parts]
 
+    def trace(self, a: int) -> tuple[list[float], list[str], list[str]] | None:
+        """Ranks of the merges that make token a, and its first and last part before each; None if its text encodes otherwise."""
+        if a not in self._traces:
+            steps = [(r, parts[0], parts[-1], len(parts)) for r, parts in self.merges(self.pieces[a])]
+            self._traces[a] = None if steps[-1][3] > 1 else tuple(map(list, list(zip(*steps))[:3]))
+        return self._traces[a]
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the text of tokens a and b encodes as a, b."""
+        """Whether the text of tokens a and b encodes as a, b.
+
+        Both sides go through the merges of their own traces, the better rank first and the
+        left one of equals, as long as no merge over the border is due before.
+        """
         key = a * len(self.pieces) + b
         known = self._pairs.get(key)
         if known is None:
-            known = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+            known = self._apart(self.trace(a), self.trace(b))
             if len(self._pairs) >= self.cached_pairs:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
 
+    def _apart(self, a, b) -> bool:
+        if a is None or b is None:
+            return False
+        (left, _, ends), (right, starts, _), rank = a, b, self.rank
+        i = j = 0
+        while True:
+            over = rank.get(ends[i] + starts[j], NEVER)
+            x, y = left[i], right[j]
+            if over < x and over <= y:
+                return False
+            if x == NEVER and y == NEVER:
+                return True
+            if x <= y:
+                i += 1
+            else:
+                j += 1
+
     def reachable(self, a: int) -> bool:
         """Whether the text of token a encodes as a alone."""
-        known = self._whole.get(a)
-        if known is None:
-            known = self._whole[a] = self.merged(self.pieces[a]) == [a]
-        return known
+        return self.trace(a) is not None
+
+    def release(self) -> None:
+        """Gives the caches back."""
+        self.unit_ids.clear()
+        self.unit_ids.old = {}
+        self._pairs.clear()
 
     def encode_unit(self, unit: str) -> bytes:
         """Ids of one unit as little-endian unsigned 32-bit integers."""
@@ -122,13 +163,15 @@ class Model:
                     last[k + 1] = -2
         pairs, size = self._pairs, len(self.pieces)
         for end, (length, token) in self.automaton.iter(unit):
-            before = last[end + 1 - length]
-            if before == -1 or last[end + 1] != -1:
+            if last[end + 1] != -1:
                 continue
+            before = last[end + 1 - length]
             if before >= 0:
                 known = pairs.get(before * size + token)
                 if self.compatible(before, token) if known is None else known:
                     last[end + 1] = token
+            elif before == -1:
+                continue
             elif self.reachable(token):
                 last[end + 1] = token
         out, at = [], len(unit)
@@ -186,7 +229,7 @@ _loaded: dict[int, Model] = {}
 
 
 def load(blob: bytes) -> Model:
-    """One model per worker process; its caches live as long as the process."""
+    """One model per worker process; a task releases its caches when it ends."""
     key = hash(blob)
     if key not in _loaded:
         _loaded[key] = Model(blob)

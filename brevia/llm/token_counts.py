@@ -2,7 +2,7 @@
 
 First tier: the lengths of the corpus's frequent pre-tokens, counted over all texts by
 bounded summaries on the map side and broadcast as one packed table. Second tier: a
-bounded cache of the worker process; what it misses is encoded by the library, many
+bounded cache of the worker's task; what it misses is encoded by the library, many
 pre-tokens at once. Pre-tokens themselves are never shuffled.
 """
 
@@ -16,14 +16,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import piece_bpe
+from . import piece_bpe, words
 
 #: Entries that a partition's summary and the broadcast table hold at most; about 1 MB broadcast.
 SUMMARY, TABLE = 4096, 32768
-#: Pre-tokens that a worker remembers at most, and the characters of the longest of them.
+#: Pre-tokens that a task remembers at most, and the characters of the longest of them.
 REMEMBERED, LONGEST = 150_000, 64
-
-_state: dict = {}
+#: Bytes of text that are handled at once; a longer text is handled alone.
+CHUNK = 1 << 20
 
 
 def frequent(df: DataFrame, model_path: str, text_col: str = "text", summary: int = SUMMARY, most: int = TABLE) -> DataFrame:
@@ -86,13 +86,12 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         for size, n in zip(sizes.tolist(), counts.tolist()):
             first[text[at : at + size].decode()] = n
             at += size
-        if _state.get("model") is not model:
-            _state.update(model=model, sp=sentencepiece.SentencePieceProcessor(model_proto=blob.value), seen={})
-        sp, seen = _state["sp"], _state["seen"]
+        sp = sentencepiece.SentencePieceProcessor(model_proto=blob.value)
+        seen: dict = {}  # the task's own, so that a worker gives it back
         tiers = _Tiers(first, seen)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start, size in words.chunks(batch.column(1), CHUNK):
+                part = batch.slice(start, size)
                 texts = [t.as_py() or "" for t in part.column(1)]
                 units = [model.split(t) for t in texts]
                 missed = list(tiers.missing(units))
@@ -103,7 +102,8 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                     some = missed[k : k + 20_000]
                     seen.update(zip(some, _lengths(sp, some)))
                 tokens = [sum(map(tiers.__getitem__, u)) for u in units]
-                tiers.clear_long()
+                for u in [u for u in missed if len(u) > LONGEST]:  # rare, and they would fill the cache
+                    del seen[u]
                 n_bytes = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
@@ -127,8 +127,3 @@ class _Tiers(dict):
     def missing(self, units: list[list[str]]) -> set[str]:
         seen = self.seen
         return {u for doc in units for u in set(doc) if u not in self and u not in seen}
-
-    def clear_long(self) -> None:
-        """Long pre-tokens are rare and would fill the cache."""
-        for u in [u for u in self.seen if len(u) > LONGEST] if len(self.seen) > REMEMBERED // 2 else ():
-            del self.seen[u]
