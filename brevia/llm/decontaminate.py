@@ -21,6 +21,10 @@ Q = 8
 #: Edits allowed per character of a passage.
 RATE = 0.1
 BLOCK_CHARS = 2_000_000
+#: Places in a block of passages above which a q-gram is not looked up; one that is left out lowers what its passages ask for.
+COMMON = 64
+#: Pairs of a text's and a passage's q-gram that are counted at once, and diagonals that are aligned at once.
+PIECE, WIDE = 1_000_000, 1 << 15
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -44,46 +48,107 @@ def qgrams(c: np.ndarray, q: int = Q) -> np.ndarray:
     return words.mix(h)
 
 
+def budget(size: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """Edits allowed in passages of so many characters: rate of them, rounded down, whatever their length."""
+    if not 0 <= rate < 1:
+        raise ValueError("the rate of edits must be from 0 to below 1")
+    return (size * rate + 1e-9).astype(np.int64)
+
+
 class Passages:
-    """q-grams of the passages: where each occurs."""
+    """Budgets of the passages, and indexes of their q-grams, one for each q that is in use.
+
+    q is Q, or less for a short passage: the largest for which the lemma still asks for a shared q-gram.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.ids = [i for i, _ in items]
         self.codes = [codes(t) for _, t in items]
-        size = np.array([len(c) for c in self.codes], np.int64)
-        # a budget for which the lemma still asks for a shared q-gram
-        self.budget = np.maximum(np.minimum((size * rate).astype(np.int64), (size - Q) // Q), 0)
-        self.least = size - Q + 1 - self.budget * Q
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        self.budget = budget(self.size, rate)
+        q = np.minimum(Q, self.size // (self.budget + 1))
+        self.least = self.size - q + 1 - self.budget * q
         self.shift = np.ceil(np.log2(self.budget + 2)).astype(np.int64)  # a band is two steps of 2**shift > budget
-        grams = [qgrams(c) for c in self.codes]
-        self.short = [k for k, g in enumerate(grams) if not len(g) and len(self.codes[k])]
-        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        self.grams = [_Grams(self, int(n), np.flatnonzero(q == n)) for n in np.unique(q[q > 0])]
+
+    def align(self, c: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best place of passage k in c on diagonals low to high, or None over the budget."""
+        most = int(self.budget[k])
+        found = _banded(self.codes[k], c, low, high, most)
+        if found is None:
+            return None
+        edits, end = found
+        m = len(self.codes[k])
+        back = _banded(self.codes[k][::-1], c[:end][::-1][: m + most], -most, most, most, anchored=True)
+        return edits, end - (back[1] if back else m), end
+
+
+class _Grams:
+    """Where the q-grams of some passages occur in them.
+
+    A q-gram with more than COMMON places is left out, and a passage asks for as many fewer
+    shared q-grams as it has of them. A passage of which too little is left is `hard`: the
+    places of a text that hold any of its q-grams are counted in windows of its length.
+    """
+
+    def __init__(self, passages: Passages, q: int, own: np.ndarray):
+        self.q, self.passages = q, passages
+        grams = [qgrams(passages.codes[k], q) for k in own]
+        gram = np.concatenate(grams)
+        item = np.repeat(own, [len(g) for g in grams])
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(gram, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
+        gram, item, place = gram[order], item[order], place[order]
+        self.gram, count = np.unique(gram, return_counts=True)
+        common = np.repeat(count > COMMON, count)
+        self.least = passages.least - np.bincount(item[common], minlength=len(passages.least))
+        hard = self.least < 1
+        self.hard = [(int(k), np.unique(np.searchsorted(self.gram, gram[item == k]))) for k in own[hard[own]]]
+        used = ~common & ~hard[item]
+        self.item, self.place = item[used], place[used]
+        self.count = np.bincount(np.searchsorted(self.gram, gram[used]), minlength=len(self.gram))
+        self.first = np.cumsum(self.count) - self.count
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[gram >> np.uint64(64 - _FILTER_BITS)] = True
+        self.filter[self.gram >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def bands(self, c: np.ndarray, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Rows (text, passage, lowest diagonal from the text's begin) of the bands that reach the bound.
+    def regions(self, c: np.ndarray, text: np.ndarray, begin: np.ndarray):
+        """(text, passage, lowest, highest diagonal from the text's begin) where the passage may be.
 
-        c: code points of many texts; text: the text of each q-gram's place, -1 over a border.
+        c: code points of many texts, each begins at `begin`; text: the text of each code point.
         """
-        h = qgrams(c)
+        if len(c) < self.q:
+            return
+        h = qgrams(c, self.q)
         at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
-        at = at[text[at] >= 0]
+        at = at[text[at] == text[at + self.q - 1]]
         k = np.minimum(np.searchsorted(self.gram, h[at]), len(self.gram) - 1)
         true = self.gram[k] == h[at]
         at, k = at[true], k[true]
-        n = self.count[k]
+        yield from self._bands(at[self.count[k] > 0], k[self.count[k] > 0], text, begin)
+        for item, own in self.hard:
+            yield from self._windows(at[np.isin(k, own)], item, text, begin)
+
+    def _bands(self, at, k, text, begin):
+        """Bands that hold enough q-grams, counted over pieces of bounded size that share what a band may span."""
+        n, p = self.count[k], self.passages
+        if not len(at):
+            return
+        reach = int(p.size[self.item].max() + 2 * (2 << int(p.shift[self.item].max())))
+        total, start = np.cumsum(n), 0
+        while start < len(at):
+            end = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + PIECE)), start + 1)
+            stop = int(np.searchsorted(at, at[end - 1] + reach, side="right"))  # a band that begins in the piece ends here
+            yield from self._counted(at[start:stop], k[start:stop], text, begin)
+            start = end
+
+    def _counted(self, at, k, text, begin):
+        p, n = self.passages, self.count[k]
         at = np.repeat(at, n)
         post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(len(at))
         item, doc = self.item[post], text[at]
         # a diagonal may begin before its text: by at most the passage and the budget
         diagonal = at - begin[doc] - self.place[post] + (1 << 24)
-        step = diagonal >> self.shift[item]
+        step = diagonal >> p.shift[item]
         keys = np.concatenate([(doc << 46) | (item << 30) | s for s in (step, step - 1)])
         least = np.concatenate([self.least[item]] * 2)
         slot = (words.mix(keys.view(np.uint64)) >> np.uint64(44)).astype(np.int64)  # cheap counts first: never too low
@@ -96,19 +161,26 @@ class Passages:
         keys, found = np.unique(keys[new], return_counts=True)
         doc, item = keys >> 46, (keys >> 30) & 0xFFFF
         good = found >= self.least[item]
-        low = ((keys & ((1 << 30) - 1)) << self.shift[item]) - (1 << 24)
-        return np.stack([doc, item, low], 1)[good]
+        low = ((keys & ((1 << 30) - 1)) << p.shift[item]) - (1 << 24)
+        high = low + 2 * (1 << p.shift[item]) - 1
+        yield from zip(*(x[good].tolist() for x in (doc, item, low, high)))
 
-    def align(self, c: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best place of passage k in c on diagonals low to high, or None over the budget."""
-        most = int(self.budget[k])
-        found = _banded(self.codes[k], c, low, high, most)
-        if found is None:
-            return None
-        edits, end = found
-        m = len(self.codes[k])
-        back = _banded(self.codes[k][::-1], c[:end][::-1], -most, most, most, anchored=True)
-        return edits, end - (back[1] if back else m), end
+    def _windows(self, at, item, text, begin):
+        """Diagonals of the windows of the passage's length in which enough places hold one of its q-grams."""
+        m, k, least = (int(x[item]) for x in (self.passages.size, self.passages.budget, self.passages.least))
+        if len(at) < least:
+            return
+        last = at[least - 1 :]
+        first = at[: len(last)]
+        good = (last - first <= m + k - self.q) & (text[first] == text[last])
+        low, high, doc = last[good] - (m + k - self.q), first[good] + self.q, text[first[good]]
+        low, high = low - begin[doc] - k, high - begin[doc] + k  # of a passage that begins between them
+        if len(low):
+            new = np.ones(len(low), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > high[:-1] + 1)
+            head = np.flatnonzero(new)
+            tail = np.append(head[1:], len(low)) - 1
+            yield from zip(doc[head].tolist(), [item] * len(head), low[head].tolist(), high[tail].tolist())
 
 
 def _banded(p: np.ndarray, c: np.ndarray, low: int, high: int, most: int, anchored: bool = False) -> tuple[int, int] | None:
@@ -181,29 +253,20 @@ def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, i
     size = np.array([len(c) for c in parts])
     begin = np.cumsum(size) - size
     best: dict = {}
-    if size.sum() >= Q and len(passages.gram):
-        c = np.concatenate(parts)
-        text = np.repeat(np.arange(len(parts)), size)[: len(c) - Q + 1]
-        text = np.where(text == np.repeat(np.arange(len(parts)), size)[Q - 1 :], text, -1)
-        for doc, item, low in passages.bands(c, text, begin).tolist():
-            if best.get((doc, item), (1,))[0] == 0:
-                continue
+    c, text = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
+    for grams in passages.grams:
+        for doc, item, low, high in grams.regions(c, text, begin):
             own = parts[doc]
             m, k = len(passages.codes[item]), int(passages.budget[item])
-            high = low + 2 * (1 << int(passages.shift[item])) - 1
-            a, b = max(0, low - k), min(len(own), high + m + k)
-            found = passages.align(own[a:b], item, low - a, high - a)
-            if found:
-                edits, s, e = found
-                best[doc, item] = min(best.get((doc, item), (edits, a + s, e - s)), (edits, a + s, e - s))
-    for item in passages.short:
-        needle = passages.codes[item].tobytes()
-        for doc, own in enumerate(parts):
-            raw, at = own.tobytes(), -1
-            while (at := raw.find(needle, at + 1)) >= 0 and at % 4:
-                pass
-            if at >= 0:
-                best[doc, item] = (0, at // 4, len(needle) // 4)
+            low, high = max(low, -k), min(high, len(own) - m + k)
+            for at in range(low, high + 1, WIDE):  # neighbours share what an alignment may drift
+                if best.get((doc, item), (1,))[0] == 0:
+                    break
+                to = min(at + WIDE - 1 + 2 * k, high)
+                a, b = max(0, at - k), min(len(own), to + m + k)
+                if found := passages.align(own[a:b], item, at - a, to - a):
+                    edits, s, e = found
+                    best[doc, item] = min(best.get((doc, item), (edits, a + s, e - s)), (edits, a + s, e - s))
     return [(doc, passages.ids[item], *b) for (doc, item), b in sorted(best.items())]
 
 
