@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import fresh
 
 Q = 8
 #: Edits allowed per character of a passage.
@@ -211,9 +212,13 @@ def _banded(p: np.ndarray, c: np.ndarray, low: int, high: int, most: int, anchor
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """(id, item, edits, start, length): each passage that a text holds, at its best place, one row per id, text and item.
 
-    start and length count code points. Null and empty passages are never found; a null or
-    empty text holds nothing; an empty table gives no rows; rows with null or repeated ids
-    are searched like others. Passages shorter than Q characters are searched exactly.
+    A text holds a passage of m characters if some part of it differs by at most rate * m
+    edits, rounded down, whatever m is: passages too short for that rate at Q characters a
+    q-gram are looked up by shorter ones. Of several places the one of fewest edits counts,
+    then the first. start and length count code points; ids are read as long. Null and
+    empty passages are never found; a null or empty text holds nothing; an empty table
+    gives no rows; rows with null or repeated ids are searched like others; other columns
+    are not read. Long and repetitive texts are searched whole in bounded memory.
     Comparison ignores the case of A-Z and the kind of ASCII white space.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and t != '' and i is not null").orderBy("i", "t")
@@ -271,6 +276,11 @@ def _search(passages: Passages, texts: list[str]) -> list[tuple[int, int, int, i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """docs without those in which a passage is found; rows with a null id stay unless no row could be told from them."""
-    bad = find(docs, benchmark, id_col, text_col, rate=rate).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows whose id has a text in which a passage is found; all columns stay as they are.
+
+    A null or empty text holds nothing and stays. Rows that share an id, null included, go
+    together. An empty table, or no passages, takes nothing away.
+    """
+    (bad,) = fresh(docs, "_bad")
+    found = find(docs, benchmark, id_col, text_col, rate=rate).select(F.col(id_col).alias(bad)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 
 #: 16 bytes each: about 3 MB broadcast.
 BROADCAST_LINES = 200_000
@@ -39,25 +39,40 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float, le
     return found.groupBy("host").agg(F.collect_list("m").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host_col: str = "host", text_col: str = "text", ratio: float = 0.1, least: int = 10) -> DataFrame:
-    """pages with boilerplate lines taken out of the text, and n_lines, n_dropped (long) added.
+def drop_boilerplate(pages: DataFrame, host_col: str = "host", text_col: str = "text", ratio: float = 0.1, least: int = 10, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """pages with boilerplate lines taken out of the text, and the two `counts` (long) of lines and of those dropped.
 
     Lines are split at newlines and compared without the ASCII white space around them; blank
-    lines are neither counted nor dropped (n_lines counts the others). Every row stays, with all
-    columns and ids as they are; a null text stays null, and a null host is a host of its own.
-    Existing columns n_lines and n_dropped are replaced. An empty table gives no rows.
+    lines are neither counted nor dropped (the first count has the others). Every row stays, with
+    all columns and ids as they are; a null text stays null, and a null host is a host of its own.
+    Existing columns of the names in `counts` are replaced; counts=None adds and replaces none.
+    Repeated rows count as pages of their own. An empty table gives no rows.
     """
-    pages = pages.drop("n_lines", "n_dropped")
+    if counts:
+        pages = pages.drop(*counts)
+    host, known, kept_col = fresh(pages, "_host", "_lines", "_kept")
     found = saved(boilerplate(pages, host_col, text_col, ratio, least))
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    known = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    wide = pages.join(F.broadcast(known) if size <= BROADCAST_LINES else known, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    of = found.select(F.col("host").alias(host), F.col("lines").alias(known))
+    wide = pages.join(F.broadcast(of) if size <= BROADCAST_LINES else of, F.col(host_col).eqNullSafe(F.col(host)), "left")
     split = F.split(F.col(text_col), "\n")
-    kept = F.filter(split, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("_lines"), _mark(_trimmed(x))))
-    wide = wide.withColumn("_kept", F.when(F.col("_lines").isNull(), split).otherwise(kept))
-    before = F.coalesce(F.size(F.filter(split, lambda x: _trimmed(x) != "")), F.lit(0))
-    dropped = F.coalesce(F.size(split) - F.size("_kept"), F.lit(0))
-    others = [F.col(c) for c in pages.columns if c != text_col]
-    at = pages.columns.index(text_col)
-    others.insert(at, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")).alias(text_col))
-    return wide.select(*others, F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(before).cast("long").alias("n_lines"), F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(dropped).cast("long").alias("n_dropped"))
+    kept = F.filter(split, lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col(known), _mark(_trimmed(x))))
+    wide = wide.withColumn(kept_col, F.when(F.col(known).isNull(), split).otherwise(kept))
+    columns = [F.when(F.col(known).isNull(), F.col(c)).otherwise(F.array_join(kept_col, "\n")).alias(c) if c == text_col else F.col(c) for c in pages.columns]
+    if counts:
+        before = F.size(F.filter(split, lambda x: _trimmed(x) != ""))
+        for name, n in zip(counts, (before, F.size(split) - F.size(kept_col))):
+            columns.append(F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long").alias(name))
+    return wide.select(*columns)
+
+
+#: Elements whose content is no text, and elements that stay within a line (fixed values).
+UNSEEN = ("script", "style", "template", "noscript")
+INLINE = ("a", "abbr", "b", "bdi", "bdo", "cite", "code", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "u", "var", "wbr")
+HIDDEN = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in UNSEEN)
+WITHIN, TAG = rf"(?is)</?(?:{'|'.join(INLINE)})(?:\s[^>]*)?>", r"(?s)<[^>]*>"
+
+
+def lines_of_html(html: Column) -> Column:
+    """The text of a page: comments and unseen elements go, every tag but the inline ones ends a line."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), WITHIN, ""), TAG, "\n")

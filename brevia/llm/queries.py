@@ -65,8 +65,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages),
-h as (select host, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from p join labels l on l.doc_id = p.page_id group by host),
-h2 as (select *, case when regexp_matches(host, '(^|[.])(ac|co|com|edu|gov|net|org)[.][a-z]{2}$') then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else string_split(host, '.')[-1] end as suffix from h),
+h as (select host, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from p join labels l on l.doc_id = p.page_id where host <> '' group by host),
+h2 as (select *, case when regexp_matches(host, '(^|[.])(SECOND)[.][a-z]{2}$') then array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') else string_split(host, '.')[-1] end as suffix from h),
 h3 as (select *, array_to_string(list_slice(string_split(host, '.'), -(len(string_split(suffix, '.')) + 1), -1), '.') as domain from h2),
 d as (select domain, suffix, sum(n) as dn, sum(bad) as db from h3 group by domain, suffix),
 s as (select suffix, sum(dn) as sn, sum(db) as sb from d group by suffix),
@@ -79,7 +79,7 @@ u(action, domain, start, rule) as (values ('allow', 'com', '/', 'com/'), ('block
 m as (select page_id, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action from p join u on (host = domain or ends_with(host, '.' || domain)) and starts_with(path, start) group by page_id)
 select p.page_id, p.host, p.path, m.rule, coalesce(m.action, case when r.bound > 0.3 then 'block' else 'allow' end) as verdict, round(r.bound, 6) as bound
 from p left join r using (host) left join m using (page_id)
-"""
+""".replace("SECOND", "|".join(url_filter.SECOND_LEVEL))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,51 +110,86 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20, digest=True)
 
 
+OP4_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+x as (select doc_id, i, md5(array_to_string(ws[i : i + 19], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w)),
+f as (select doc_id, i, row_number() over (partition by h order by doc_id, i) as n from x),
+g as (select distinct doc_id, i + k as j from (select doc_id, i, unnest(range(0, 20)) as k from f where n > 1)),
+t as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from w),
+k as (select t.doc_id, count(*) as n_kept, string_agg(word, ' ' order by t.j) as kept from t anti join g on t.doc_id = g.doc_id and t.j = g.j group by t.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n_kept, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k on w.doc_id = k.doc_id
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Share of a source's documents above which a line is boilerplate, and the documents that must hold it at least.
-LINE_RATIO, LINE_LEAST = 0.1, 10
+#: Share of a host's pages above which a line is boilerplate, and the pages that must hold it at least.
+PAGE_RATIO, PAGE_LEAST = 0.1, 3
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites are the documents' sources."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_LEAST)
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
-
-
-OP7_SQL = r"""
-with s as (select doc_id, source, string_split(text, chr(10)) as ls from documents),
-l as (select doc_id, source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) as line from s),
-n as (select source, count(*) as pages from documents group by source),
-c as (select source, line, count(*) as c from l group by source, line),
-b as (select source, list(line) as bad from c join n using (source) where c >= 10 and c > 0.1 * pages group by source),
-k as (select doc_id, ls, list_filter(ls, lambda x: not list_contains(coalesce(bad, []), trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) or trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') as kept from s left join b using (source))
-select doc_id, coalesce(len(list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')), 0) as n_lines,
+    """Sites are the hosts of the pages' urls; lines are those of the pages' visible text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), line_dedup.lines_of_html(F.col("html")).alias("text"))
+    out = line_dedup.drop_boilerplate(pages, "host", "text", PAGE_RATIO, PAGE_LEAST)
+    return out.select("page_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+LINES_SQL = r"""
+with s as (SITES),
+l as (select id, site, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''))) as line from s),
+n as (select site, count(*) as pages from s group by site),
+c as (select site, line, count(*) as c from l group by site, line),
+b as (select site, list(line) as bad from c join n using (site) where c >= LEAST_PAGES and c > RATIO * pages group by site),
+k as (select id, ls, list_filter(ls, lambda x: not list_contains(coalesce(bad, []), trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) or trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') as kept from s left join b using (site))
+select id as ID, coalesce(len(list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')), 0) as n_lines,
   coalesce(len(ls) - len(kept), 0) as n_dropped, sha256(array_to_string(kept, chr(10))) as kept_sha256 from k
 """
 
 
-#: Between ordinary lines (on at most 4.8 % of a source's documents of sf0.1) and boilerplate (8.6 % at least); sites of three pages can lose lines.
-GAP_RATIO, GAP_LEAST = 0.06, 3
+def _lines_sql(sites: str, id_col: str, ratio: float, least: int) -> str:
+    return LINES_SQL.replace("SITES", sites).replace("LEAST_PAGES", str(least)).replace("RATIO", str(ratio)).replace("id as ID", f"id as {id_col}")
 
 
-def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_line_dedup with the ratio in the measured gap, so that a line goes from all sources it is boilerplate of."""
+OP7_SQL = _lines_sql(
+    "select page_id as id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as site, "
+    f"string_split(regexp_replace(regexp_replace(regexp_replace(html, '{line_dedup.HIDDEN}', chr(10), 'g'), '{line_dedup.WITHIN}', '', 'g'), '{line_dedup.TAG}', chr(10), 'g'), chr(10)) as ls from pages",
+    "page_id",
+    PAGE_RATIO,
+    PAGE_LEAST,
+)
+
+#: The same of documents by source. Between ordinary lines (on at most 4.8 % of a source's documents of sf0.1) and boilerplate (8.6 % at least); sites of three pages can lose lines.
+LINE_RATIO, LINE_LEAST = 0.06, 3
+
+
+def op7_line_dedup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the documents' sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_boilerplate(docs, "source", "text", GAP_RATIO, GAP_LEAST)
+    out = line_dedup.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_LEAST)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-OP7_WHOLE_SQL = OP7_SQL.replace("c >= 10 and c > 0.1 * pages", "c >= 3 and c > 0.06 * pages")
+OP7_SOURCES_SQL = _lines_sql("select doc_id as id, source as site, string_split(text, chr(10)) as ls from documents", "doc_id", LINE_RATIO, LINE_LEAST)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+OP9_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sets as (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as sh from w),
+s as (select doc_id, len(sh) as n, unnest(sh) as x from sets),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all),
+e as (select a, b from p where 100 * c >= 80 * (na + nb - c)),
+e2 as (select a, b from e union all select b, a from e),
+r as (select doc_id, doc_id as root from w union select r.doc_id, e2.b from r join e2 on r.root = e2.a)
+select doc_id, len(sh)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join (select doc_id, min(root) as component_id from r group by doc_id) using (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = saved(quality_rules.statistics(table(spark, sf_dir, "documents")))  # a few numbers per document
     rules = quality_rules.learn(stats, learning_labels(spark, sf_dir))
@@ -170,9 +205,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": op7_line_dedup,
-    "op7_line_dedup_whole": op7_line_dedup_whole,
+    "op7_line_dedup_sources": op7_line_dedup_sources,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {name: one_line(sql) for name, sql in {"op1_chat_format": OP1_SQL, "op3_url_filter": OP3_SQL, "op7_line_dedup": OP7_SQL, "op7_line_dedup_whole": OP7_WHOLE_SQL}.items()}
+ORACLES: dict[str, str] = {
+    name: one_line(sql)
+    for name, sql in {
+        "op1_chat_format": OP1_SQL,
+        "op3_url_filter": OP3_SQL,
+        "op4_substring_dedup": OP4_SQL,
+        "op7_line_dedup": OP7_SQL,
+        "op7_line_dedup_sources": OP7_SOURCES_SQL,
+        "op9_near_dedup": OP9_SQL,
+    }.items()
+}

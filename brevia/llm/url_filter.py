@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Second-level labels that act as part of a public suffix under a two-letter country label (fixed values).
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = (
+    "ac", "ad", "asn", "asso", "biz", "co", "com", "ed", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gub", "id", "ind", "info",
+    "k12", "lg", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "police", "pro", "res", "sch", "school", "web",
+)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,11 +38,21 @@ def suffix_of(host: Column) -> Column:
     return F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    """The suffix and the label before it; the host itself when it has no more labels."""
-    suffix = suffix_of(host)
-    labels = F.size(F.split(suffix, r"\."))
-    return F.call_function("substring_index", host, F.lit("."), -(labels + 1))
+def with_suffix(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts with domain and suffix: the longest of `suffixes` (suffix) that ends the host, else that of suffix_of().
+
+    suffixes: public suffixes of whatever list the caller has, such as `co.uk`; null for none.
+    domain: the suffix and the label before it, or the host itself when it has no more labels.
+    """
+    if suffixes is None:
+        out = hosts.withColumn("suffix", suffix_of(F.col("host")))
+    else:
+        labels = F.split("host", r"\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        listed = hosts.select("host", F.explode(ends).alias("suffix")).join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
+        best = listed.groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("listed"))
+        out = hosts.join(best, "host", "left").withColumn("suffix", F.coalesce("listed", suffix_of(F.col("host")))).drop("listed")
+    return out.withColumn("domain", F.call_function("substring_index", F.col("host"), F.lit("."), -(F.size(F.split("suffix", r"\.")) + 1)))
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -55,15 +68,15 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, action
 
 
-def reputation(outcomes: DataFrame, strength: float = 10.0, z: float = 1.0) -> DataFrame:
-    """(host, n, bad, mean, bound) from outcomes (host, bad 0/1; null bad or host: not counted).
+def reputation(outcomes: DataFrame, strength: float = 10.0, z: float = 1.0, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, mean, bound) from outcomes (host, bad 0/1; null bad, and null or empty host: not counted).
 
     bound is the lower posterior bound of the bad rate: mean minus z posterior deviations.
     An empty table gives no rows.
     """
-    seen = outcomes.select("host", F.col("bad").cast("long").alias("bad")).where("host is not null and bad is not null")
+    seen = outcomes.select("host", F.col("bad").cast("long").alias("bad")).where("host != '' and bad is not null")
     hosts = seen.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = with_suffix(hosts, suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     whole = suffixes.agg(((F.sum("sb") + 0.5) / (F.sum("sn") + 1.0)).alias("base"))
@@ -76,10 +89,11 @@ def reputation(outcomes: DataFrame, strength: float = 10.0, z: float = 1.0) -> D
     return hosts.select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float, id_col: str = "page_id", url_col: str = "url", strength: float = 10.0, z: float = 1.0) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float, id_col: str = "page_id", url_col: str = "url", strength: float = 10.0, z: float = 1.0, suffixes: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, bound) for every page.
 
-    A null url, or one without `://`, has an empty host and path. The verdict is the
+    A null url, or one without `://`, has an empty host and path; such pages are of no site,
+    so they have no reputation and are allowed unless a rule speaks. The verdict is the
     longest fitting rule's, else `block` when the host's lower posterior bound of the bad
     rate is above the limit, else `allow`; hosts without outcomes are allowed (bound null).
     Repeated and null ids stay as rows; an empty table gives no rows; other columns are not read.
@@ -87,7 +101,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
     rows = pages.select(F.col(id_col), F.col(url_col).alias("url"))
     rows = rows.select(id_col, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(outcomes, strength, z).select("host", "bound")
+    known = reputation(outcomes, strength, z, suffixes).select("host", "bound")
     blocked = F.coalesce(F.col("bound") > F.lit(limit), F.lit(False))
     verdict = F.coalesce(action, F.when(blocked, "block").otherwise("allow"))
     return rows.join(known, "host", "left").select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.round("bound", 6).alias("bound"))

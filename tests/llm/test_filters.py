@@ -125,10 +125,49 @@ def semi_global(p, c):
     return int(row.min())
 
 
+def global_edits(p, c):
+    row = list(range(len(c) + 1))
+    for i, x in enumerate(p):
+        new = [i + 1]
+        for j, y in enumerate(c):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "  a", "abcdefgh "])
+def test_decontamination_of_repetitive_texts(alphabet):
+    rnd = random.Random(8)
+    for _ in range(150):
+        m, percent = rnd.choice([1, 3, 8, 10, 20, 30, 40, 50, 90]), rnd.choice([0, 10, 20])
+        p = "".join(rnd.choice(alphabet) for _ in range(m))
+        t = list(p)
+        for _ in range(rnd.randint(0, m * percent // 100 + 1)):
+            k = rnd.randrange(len(t) + 1)
+            t[k : k + 1] = rnd.choice([[], [rnd.choice(alphabet)], [rnd.choice(alphabet), rnd.choice(alphabet)]])
+        rows = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))) + "".join(t) + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 50))), "", p]
+        best = [semi_global(decontaminate.codes(p), decontaminate.codes(x)) if x else 999 for x in rows]
+        found = decontaminate._search(decontaminate.Passages([(7, p)], percent / 100), rows)
+        assert [(r[0], r[2]) for r in found] == [(k, e) for k, e in enumerate(best) if e <= m * percent // 100]
+
+
+def test_decontamination_of_long_runs():
+    """A megabyte of one character against passages of it: no table of all pairs of places."""
+    import time
+    import tracemalloc
+
+    passages = decontaminate.Passages([(1, "abc def ghi " * 8 + " " * 120 + "tail of it"), (2, "x" * 150), (3, " " * 199 + "z")])
+    tracemalloc.start()
+    began = time.time()
+    assert decontaminate._search(passages, [" " * 500_000, "ab " * 100_000]) == [(0, 3, 1, 0, 199)]
+    assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_decontamination(spark):
     rnd = random.Random(3)
     sentence = lambda n: "".join(rnd.choice("abcdefghij é") for _ in range(n))
-    items = [(k, sentence(rnd.choice([5, 20, 60, 150, 300]))) for k in range(12)] + [(20, None), (21, "")]
+    items = [(k, sentence(rnd.choice([5, 9, 15, 20, 30, 39, 60, 150, 300]))) for k in range(12)] + [(20, None), (21, "")]
     docs = []
     for _ in range(80):
         t = list(rnd.choice(items[:12])[1])
@@ -140,18 +179,50 @@ def test_decontamination(spark):
     docs += [None, "", "x"]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(docs)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find(df, bench).collect()}
-    passages = decontaminate.Passages([x for x in items if x[1]])
+    found = decontaminate.find(df, bench).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in found}
+    assert len(found) == len(got)
     for d, t in enumerate(docs):
-        for k, i in enumerate(passages.ids):
-            c = decontaminate.codes(t or "")
-            best = semi_global(passages.codes[k], c) if len(c) else 999
-            assert got.get((d, i)) == (best if best <= passages.budget[k] else None), (d, i)
+        for i, p in items[:12]:
+            p, c = decontaminate.codes(p), decontaminate.codes(t or "")
+            best = semi_global(p, c) if len(c) else 999
+            assert got.get((d, i)) == (best if best <= len(p) // 10 else None), (d, i)
+    for r in found:  # the place is one of so many edits
+        p, c = decontaminate.codes(dict(items)[r.item_id]), decontaminate.codes(docs[r.doc_id])
+        assert global_edits(p, c[r.start : r.start + r.length]) == r.edits
     clean = {r.doc_id for r in decontaminate.clean(df, bench).collect()}
     assert clean == set(range(len(docs))) - {d for d, _ in got}
     assert decontaminate.find(df.where(F.lit(False)), bench).count() == 0
 
 
+ODD_DOCS = [
+    (1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \n\t", "en", None, 3), (4, "word " * 30000, "en", "a", 1), (5, "x", "en", "b", 1),
+    (5, "x", "en", "b", 1), (None, "plain words of a text without an id", None, None, None), (7, "\x00 é \ud7ff", "en", "a", 5), (8, "same words here again and again", "en", "b", 2), (9, "same words here again and again", "en", "b", 2),
+]
+CLASHES = ["score", "score_", "n_lines", "n_dropped", "_bad", "_gone", "_lines", "_host", "_kept", "_Kept_", "id", "key", "component", "kept", "x", "host", "line", "in", "ids"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stage_edges(spark, sf, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns, an empty table."""
+    import corpus_pipeline as pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(ODD_DOCS, kind).withColumns({c: F.concat(F.lit(c), F.col("lang")) for c in CLASHES})
+    run = pipeline.STAGES[stage][1]
+    out = run(spark, docs, sf)
+    rows = out.collect()
+    if stage < 4:
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        known = {(r.doc_id, r.text): tuple(r)[5:] for r in docs.collect()}
+        assert all(known[r.doc_id, r.text] == tuple(r)[5:] for r in rows)
+        expected = {1: 10, 2: 9, 3: 10}.get(stage)
+        assert expected is None or len(rows) == expected
+    else:
+        assert out.columns == ["doc_id", "n_tokens", "ids", "text"] and len(rows) == len(ODD_DOCS)
+    assert run(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
@@ -193,11 +264,11 @@ def test_lines_go_from_every_site(spark, sf, tmp_path):
     rows = [(k, "large", "\n".join(["menu"] * (k % 100 < 9) + ["often"] * (k % 25 == 24) + [f"own {k}"])) for k in range(200)]
     rows += [(k, "small", "\n".join(["menu"] * (k < 303) + ["twice"] * (k > 305) + [f"own {k}"])) for k in range(300, 308)]
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for r in queries.op7_line_dedup_whole(spark, str(tmp_path)).collect():
+    for r in queries.op7_line_dedup_sources(spark, str(tmp_path)).collect():
         text = next(x[2] for x in rows if x[0] == r.doc_id).split("\n")
         kept = [x for x in text if x != "menu"]
         assert (r.n_lines, r.n_dropped, r.kept_sha256) == (len(text), len(text) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    assert queries.op7_line_dedup_whole(spark, sf).where("n_dropped > 0").count() > 0
+    assert queries.op7_line_dedup_sources(spark, sf).where("n_dropped > 0").count() > 0
 
 
 def test_pipeline_by_brute_force(spark, model, tmp_path):
@@ -234,15 +305,14 @@ def test_pipeline_by_brute_force(spark, model, tmp_path):
         for k in pages[s]:
             for line in {x.strip() for x in left[-1][k].split("\n")} - {""}:
                 counts[s][line] = counts[s].get(line, 0) + 1
-    stays = lambda k, x: (c := counts["ab"[k % 2]].get(x.strip(), 0)) < 10 or c <= 0.1 * len(pages["ab"[k % 2]])
+    stays = lambda k, x: (c := counts["ab"[k % 2]].get(x.strip(), 0)) < queries.LINE_LEAST or c <= queries.LINE_RATIO * len(pages["ab"[k % 2]])
     left.append({k: "\n".join(x for x in t.split("\n") if stays(k, x)) for k, t in left[-1].items()})
 
     ids = sorted(left[-1])
     roots, _ = brute_components([left[-1][k] for k in ids], 5)
     left.append({k: left[-1][k] for n, k in enumerate(ids) if roots[n] == n})
 
-    passages = decontaminate.Passages(items)
-    leaks = lambda t: len(c := decontaminate.codes(t)) and any(semi_global(p, c) <= b for p, b in zip(passages.codes, passages.budget))
+    leaks = lambda t: len(c := decontaminate.codes(t)) and any(semi_global(decontaminate.codes(p), c) <= len(p) // 10 for _, p in items)
     left.append({k: t for k, t in left[-1].items() if not leaks(t)})
 
     assert len(texts) > len(left[0]) == len(left[1]) > len(left[2]) > len(left[3]) > 80

@@ -32,6 +32,23 @@ def test_exact(spark, model):
         assert counts[k].over_limit == (len(expected) - 2 > 100)
 
 
+def test_registered_queries(spark, sf, model):
+    """op2 and op6 over their whole table against the library."""
+    from hashlib import sha256
+
+    import numpy as np
+
+    from brevia.llm import queries
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {k: sp.encode(t, add_bos=True, add_eos=True) for k, t in texts.items()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op2_sentencepiece(spark, sf).collect()}
+    assert got == {k: (len(x), sha256(np.array(x, "<u4").tobytes()).hexdigest(), sha256(sp.decode(x).encode()).hexdigest()) for k, x in ids.items()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op6_token_counts(spark, sf).collect()}
+    assert got == {k: (len(texts[k].encode()), len(x) - 2, len(x) - 2 > 4096) for k, x in ids.items()}
+
+
 def test_prefix_table_is_bpe(model):
     """The table against merging by the definition."""
     m = piece_bpe.Model(open(model, "rb").read())
