@@ -6,6 +6,7 @@ import hashlib
 import math
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,29 +19,69 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
-#: Queries that are broadcast together: 2 MB of 64 numbers each.
-BLOCK = 8192
+#: Bytes of the query vectors that are broadcast together, 8 a number.
+BLOCK_BYTES = 2 << 20
+#: Vectors of which a task multiplies so many at once with the block.
+ROWS = 512
 
 
-def blocks_of(queries: DataFrame) -> int:
-    """How many blocks of about BLOCK the queries make."""
-    return max(1, -(-queries.count() // BLOCK))
-
-
-def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES, blocks: int = 1) -> DataFrame:
+def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES, block_bytes: int | None = None) -> DataFrame:
     """(qid, unit, score, rank) from vectors (unit, vec) and queries (qid, vec); null query vectors rank nothing.
 
-    Every vector meets every query of the stated set, which is broadcast, in so many `blocks`
-    dealt by the hash of qid, one after the other; negative scores stay.
+    Every vector meets every query of the stated set; negative scores stay. Queries go to the
+    tasks in blocks of about `block_bytes` (BLOCK_BYTES), each task multiplies its vectors with a block and
+    keeps, of each query, those that can be among the best `most`, so a query's rows that are
+    shuffled are bounded by the tasks. A vector of another length counts over the shorter one.
     """
-    stated = queries.where("vec is not null").select("qid", F.col("vec").alias("qvec"))
-    if blocks > 1:
-        parts = [dense_ranked(vectors, queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k), most) for k in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return top(vectors.join(F.broadcast(stated)).select("qid", "unit", dot(F.col("vec"), F.col("qvec")).alias("score")), most)
+    stated = queries.where("vec is not null").select("qid", F.col("vec").cast("array<double>").alias("vec"))
+    size = stated.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    dim = max(size.dim or 0, 1)
+    blocks = max(1, -(-size.n * dim * 8 // (block_bytes or BLOCK_BYTES)))
+    kinds = f"qid {dict(queries.dtypes)['qid']}, unit {dict(vectors.dtypes)['unit']}, score double"
+    units = vectors.where("vec is not null").select("unit", F.col("vec").cast("array<double>").alias("vec"))
+    out = None
+    for k in range(blocks):
+        block = stated.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else stated
+        rows = block.toArrow()  # about block_bytes
+        shared = queries.sparkSession.sparkContext.broadcast((rows["qid"].combine_chunks(), _matrix(rows["vec"].combine_chunks(), dim)))
+        part = units.mapInArrow(_nearest(shared, most, dim), kinds)
+        out = part if out is None else out.unionByName(part)
+    return top(out, most)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of `dim` numbers, cut or filled up with zeros; a null is 0."""
+    out = np.zeros((len(column), dim))
+    for k, v in enumerate(column):
+        if v.is_valid and len(v):
+            x = np.asarray(v.values.fill_null(0.0))[:dim]
+            out[k, : len(x)] = x
+    return out
+
+
+def _nearest(shared, most: int, dim: int):
+    def work(batches):
+        qids, asked = shared.value
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(qids))]
+        units: list = []  # of all batches: one id a vector
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                base = sum(map(len, units))
+                units.append(part.column(0))
+                scores = asked @ _matrix(part.column(1), dim).T
+                for q in range(len(qids)):
+                    s, i = np.append(held[q][0], scores[q]), np.append(held[q][1], np.arange(base, base + part.num_rows))
+                    if len(s) > most:  # ties at nine places may go either way later
+                        near = s >= np.partition(s, -most)[-most] - 2e-9
+                        s, i = s[near], i[near]
+                    held[q] = s, i
+        names = pa.chunked_array(units).combine_chunks() if units else None
+        for q, (s, i) in enumerate(held):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array([qids[q].as_py()] * len(s), qids.type), names.take(pa.array(i)), pa.array(s)], names=["qid", "unit", "score"])
+
+    return work
 
 
 def mean_pool(hidden: Column, mask: Column) -> Column:

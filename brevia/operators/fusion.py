@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
+from brevia.tables import saved
 
 from . import dense, lexical
 
@@ -77,6 +78,33 @@ def passage_lists(c: Corpus, terms: DataFrame, open_: DataFrame) -> DataFrame:
     return ranked.unionByName(near.select("qid", "doc", "unit", "rank", F.lit(2).alias("list")))
 
 
+@dataclass
+class Candidates:
+    """hits(qid, doc) by code; titles(qid, doc) and ranked(qid, doc, unit, rank, list), the lists; scores(qid, doc, score), fused."""
+
+    hits: DataFrame
+    titles: DataFrame
+    ranked: DataFrame
+    scores: DataFrame
+
+
+def candidates(c: Corpus, queries: DataFrame) -> Candidates:
+    """What the lists find for each query that is not just the code of a document.
+
+    Lists are written to the shared folder: they are short, and several parts of a page read them.
+    """
+    coded = with_codes(queries)
+    hits = saved(code_hits(c.docs, coded))
+    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
+    open_ = coded.join(only, "qid", "left_anti")
+    terms = saved(lexical.query_terms(open_))
+    titles = saved(lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc")))
+    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
+    ranked = saved(passage_lists(c, terms, open_))
+    by_list = ranked.groupBy("qid", "doc", "list").agg(F.min("rank").alias("rank")).select("qid", "doc", contribution().alias("score"))
+    return Candidates(hits, titles, ranked, fused(covered.select("qid", "doc", (TITLE_WEIGHT * F.col("coverage") * F.col("coverage")).alias("score")), by_list))
+
+
 def search(c: Corpus, queries: DataFrame, sort: str = "relevance", limit: int = PAGE) -> DataFrame:
     """(qid, position, doc, score, why, snippet, passages) of each query's page.
 
@@ -86,17 +114,8 @@ def search(c: Corpus, queries: DataFrame, sort: str = "relevance", limit: int =
     """
     if sort not in ("relevance", "code", "title"):
         raise ValueError(f"unknown sort order {sort!r}")
-    coded = with_codes(queries)
-    hits = code_hits(c.docs, coded)
-    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
-    open_ = coded.join(only, "qid", "left_anti")
-    terms = lexical.query_terms(open_)
-
-    titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
-    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
-    ranked = passage_lists(c, terms, open_)
-    by_list = ranked.groupBy("qid", "doc", "list").agg(F.min("rank").alias("rank")).select("qid", "doc", contribution().alias("score"))
-    scores = fused(covered.select("qid", "doc", (TITLE_WEIGHT * F.col("coverage") * F.col("coverage")).alias("score")), by_list)
+    lists = candidates(c, queries)
+    hits, titles, ranked, scores = lists.hits, lists.titles, lists.ranked, lists.scores
     rest = scores.join(hits, ["qid", "doc"], "left_anti")
     every = hits.select("qid", "doc", F.lit(float("inf")).alias("score"), F.lit("code").alias("why")).unionByName(rest.withColumn("why", F.lit("match")))
 
@@ -108,7 +127,7 @@ def search(c: Corpus, queries: DataFrame, sort: str = "relevance", limit: int =
     elif sort == "title":
         first += [T.tokenize(F.col("title"))]
     page = named.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(*first, *relevance))).where(F.col("position") <= limit)
-    page = page.select("qid", "position", "doc", "score", "why")
+    page = saved(page.select("qid", "position", "doc", "score", "why"))
 
     shown = top_passages(ranked, titles, c.chunks, page.where("why = 'match'").select("qid", "doc"))
     heads = c.chunks.join(page.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min_by("text", "chunk").alias("head"))

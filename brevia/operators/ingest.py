@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions import text as T
@@ -16,19 +16,28 @@ KEPT = ("docx", "xlsx", "xlsm", "pdf", "doc", "xls")
 MODERN = ("docx", "xlsx")
 
 
+#: A link whose double-quoted target holds the word (fixed value).
+LINK = r'(?is)<a\b[^>]*href\s*=\s*"([^"]*{word}[^"]*)"[^>]*>(.*?)</a>'
+
+
 def parse_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", word: str = "fileman") -> DataFrame:
     """(id, pos, href, label) of the double-quoted links whose target holds `word`, in page order."""
-    pattern = rf'(?is)<a\b[^>]*?href="([^"]*{word}[^"]*)"[^>]*>(.*?)</a>'
-    links = F.arrays_zip(F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(F.col(html_col), F.lit(pattern), F.lit(2)).alias("label"))
+    pattern = F.lit(LINK.replace("{word}", word))
+    links = F.arrays_zip(F.regexp_extract_all(F.col(html_col), pattern, F.lit(1)).alias("href"), F.regexp_extract_all(F.col(html_col), pattern, F.lit(2)).alias("label"))
     rows = pages.select(F.col(id_col), F.posexplode(links).alias("pos", "a"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("a.label"), r"<[^>]+>", " "), "&nbsp;", " "), "&amp;", "&")
     return rows.select(id_col, "pos", F.col("a.href").alias("href"), F.btrim(F.regexp_replace(plain, r"(?U)\s+", " ")).alias("label"))
 
 
+def unquoted(text: Column) -> Column:
+    """Percent escapes decoded as UTF-8; a plus and a percent sign that begins no escape stay."""
+    return F.url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
 def listing_columns(links: DataFrame, origin: str, documents: str = DOCUMENTS, english: str = ENGLISH) -> DataFrame:
-    """links with path, url, name, ext, lang, code, rev and title; origin is the site root of relative links."""
-    out = links.withColumn("path", F.url_decode(F.replace("href", F.lit("+"), F.lit("%2B"))))
-    out = out.withColumn("url", F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(origin), "href")))
+    """links with path, url (both decoded), name, ext, lang, code, rev and title; origin is the site root of relative links."""
+    out = links.withColumn("path", unquoted(F.col("href")))
+    out = out.withColumn("url", F.when(F.startswith("path", F.lit("http")), F.col("path")).otherwise(F.concat(F.lit(origin), "path")))
     out = out.withColumn("name", F.substring_index("path", "/", -1))
     dot = F.instr("name", ".") > 0
     out = out.withColumn("ext", F.lower(F.substring_index("name", ".", -1))).withColumn("stem", F.when(dot, F.expr("substring(name, 1, char_length(name) - char_length(substring_index(name, '.', -1)) - 1)")).otherwise(""))
@@ -43,7 +52,7 @@ def first_by_url(rows: DataFrame, pos_col: str = "pos") -> DataFrame:
 
 def cull_reason(rows: DataFrame) -> DataFrame:
     """rows with cull_reason, null for those to keep; a code is not needed."""
-    return rows.withColumn("cull_reason", F.when(F.col("lang").isNull(), "outside the document folder").when(~F.coalesce(F.col("ext").isin(*KEPT), F.lit(False)), F.concat(F.lit("extension "), F.coalesce("ext", F.lit("none")))))
+    return rows.withColumn("cull_reason", F.when(F.col("lang").isNull(), "outside the document folder").when(~F.coalesce(F.col("ext").isin(*KEPT), F.lit(False)), F.concat(F.lit("unreadable format ."), F.coalesce("ext", F.lit("")))))
 
 
 def best_revision(rows: DataFrame, pos_col: str = "pos") -> DataFrame:
@@ -52,8 +61,8 @@ def best_revision(rows: DataFrame, pos_col: str = "pos") -> DataFrame:
     Best: highest revision, then a modern format, then first listed.
     """
     own = Window.partitionBy(F.coalesce("code", "name"), "lang").orderBy(F.desc("rev"), F.desc(F.col("ext").isin(*MODERN)), pos_col)
-    best, n = F.first_value("rev").over(own), F.row_number().over(own)
-    why = F.when(F.col("rev") < best, F.concat(F.lit("superseded by R"), best)).otherwise(F.concat(F.lit("duplicate of "), F.first_value("name").over(own)))
+    best, name, n = F.first_value("rev").over(own), F.first_value("name").over(own), F.row_number().over(own)
+    why = F.when(F.col("rev") < best, F.concat(F.lit("superseded by R"), best, F.lit(" ("), name, F.lit(")"))).otherwise(F.concat(F.lit("duplicate of "), name))
     return rows.withColumn("superseded", F.when(n > 1, why))
 
 
@@ -74,6 +83,19 @@ def report(rows: DataFrame) -> DataFrame:
     )
 
 
+def report_rows(rows: DataFrame) -> DataFrame:
+    """(list, url, name, reason) of the report's lists: culled, superseded, no_text, no_code."""
+    kept = F.col("cull_reason").isNull() & F.col("superseded").isNull()
+    lists = (
+        ("culled", F.col("cull_reason").isNotNull(), F.col("cull_reason")),
+        ("superseded", F.col("cull_reason").isNull() & F.col("superseded").isNotNull(), F.col("superseded")),
+        ("no_text", kept & (F.coalesce(F.char_length("text"), F.lit(0)) == 0), F.lit(None).cast("string")),
+        ("no_code", kept & F.col("code").isNull(), F.lit(None).cast("string")),
+    )
+    found = F.filter(F.array(*(F.when(when, F.struct(F.lit(name).alias("list"), reason.alias("reason"))) for name, when, reason in lists)), lambda x: x.isNotNull())
+    return rows.select("url", "name", F.explode(found).alias("x")).select("x.list", "url", "name", "x.reason")
+
+
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevia.functions.text import tokenize
+from brevia.functions.text import let, tokenize
+from brevia.tables import saved, sized
 
 K1, B = 1.2, 0.75
 CANDIDATES = 200
@@ -15,29 +16,48 @@ CANDIDATES = 200
 
 @dataclass
 class Field:
-    """Statistics of a text field. tf(unit, term, tf, len), df(term, df), stats(n, avg_len) of one row."""
+    """A text field, tokenised once: rows(unit, len, terms), terms an array of (term, tf)."""
 
-    tf: DataFrame
-    df: DataFrame
-    stats: DataFrame
+    rows: DataFrame
 
+    @property
+    def tf(self) -> DataFrame:
+        """(unit, len, term, tf)."""
+        # outer, since Spark would compute the array again to leave out units without tokens
+        found = self.rows.select("unit", "len", F.explode_outer("terms").alias("t")).where("t is not null")
+        return found.select("unit", "len", "t.term", "t.tf")
+
+    @property
+    def df(self) -> DataFrame:
+        """(term, df): the units that have each term."""
+        return self.tf.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row (n, avg_len), at least 1 each; units without tokens count."""
+        return self.rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
-def term_frequency(units: DataFrame, unit_col: str, text_col: str) -> DataFrame:
-    tokens = units.select(F.col(unit_col).alias("unit"), tokenize(F.col(text_col)).alias("tokens"))
-    return tokens.select("unit", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("unit", "len", "term").agg(F.count("*").alias("tf"))
+
+def runs(tokens: Column) -> Column:
+    """(term, tf) of an array of tokens: sorted, each run of equals once. No shuffle, a unit's tokens are one row."""
+
+    def counted(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), counted)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def field(units: DataFrame, unit_col: str, text_col: str, keep: bool = False) -> Field:
-    """Units without tokens count for n and the average length, so stats come from the units, not from the terms.
+    """keep: the tokenised units are written to the shared folder, for a field that several jobs or lists read."""
+    tokens = units.select(F.col(unit_col).alias("unit"), tokenize(F.col(text_col)).alias("tokens"))
+    rows = tokens.select("unit", F.size("tokens").alias("len"), runs(F.col("tokens")).alias("terms"))
+    return Field(saved(rows) if keep else rows)
 
-    keep: the frequencies are cached, for a corpus that is searched more than once or by several lists.
-    """
-    tf = term_frequency(units, unit_col, text_col)
-    if keep:
-        tf = tf.persist()
-    lengths = units.select(F.size(tokenize(F.col(text_col))).alias("len"))
-    stats = lengths.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
-    return Field(tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+def term_frequency(units: DataFrame, unit_col: str, text_col: str) -> DataFrame:
+    """(unit, len, term, tf)."""
+    return field(units, unit_col, text_col).tf
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -45,21 +65,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
+def _asked(f: Field, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The field's (unit, len, term, tf) of the terms that are asked, and (qid, term, qtf, df) of those the field has."""
+    tf = f.tf.join(sized(terms.select("term").distinct()), "term", "left_semi")
+    return tf, terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
+
+
 def bm25(f: Field, terms: DataFrame) -> DataFrame:
-    """(qid, unit, score) of every unit with a query term; df and tf are restricted to those terms by the join."""
-    scored = f.tf.join(terms.join(f.df, "term"), "term").join(F.broadcast(f.stats))  # stats: one row
+    """(qid, unit, score) of every unit with a query term.
+
+    Weights of the asked terms meet the postings, by a broadcast while they are few; sums are
+    combined before they are shuffled, since a unit's postings are in one task.
+    """
+    tf, known = _asked(f, terms)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = known.join(F.broadcast(f.stats)).select("term", "qid", (F.col("qtf") * idf * (K1 + 1)).alias("w"), "avg_len")  # stats: one row
+    weights = saved(weights)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    return scored.groupBy("qid", "unit").agg(F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    return tf.join(sized(weights), "term").groupBy("qid", "unit").agg(F.sum(F.col("w") * F.col("tf") / norm).alias("score"))
 
 
 def top(scored: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """The best `most` units of each query with their rank from 0; ties go to the lower unit.
 
     Scores are compared to nine places, since the order of a sum depends on the partitions.
+    The limit is on row_number() itself, so that each task cuts its own rows before the shuffle.
     """
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "unit")
-    return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return best.withColumn("rank", F.col("rank") - 1)
 
 
 def ranked(f: Field, terms: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -69,7 +103,8 @@ def ranked(f: Field, terms: DataFrame, most: int = CANDIDATES) -> DataFrame:
 
 def coverage(f: Field, terms: DataFrame) -> DataFrame:
     """(qid, unit, coverage): share of the query's distinct terms known to the field that the unit has."""
-    known = terms.join(f.df, "term").select("qid", "term")
+    tf, known = _asked(f, terms)
+    known = saved(known.select("qid", "term"))
     reachable = known.groupBy("qid").agg(F.count("*").alias("reachable"))
-    matched = f.tf.join(known, "term").groupBy("qid", "unit").agg(F.count("*").alias("matched"))
+    matched = tf.join(sized(known), "term").groupBy("qid", "unit").agg(F.count("*").alias("matched"))
     return matched.join(reachable, "qid").select("qid", "unit", (F.col("matched") / F.col("reachable")).alias("coverage"))

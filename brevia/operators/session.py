@@ -5,24 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brevia.functions.text import trim
+
+from . import fusion
+
 LOG = 40
 LOGGED = ("search", "open", "save", "unsave", "sort")
 
 
+def effective(commands: DataFrame) -> DataFrame:
+    """commands(session, at, who, action, arg) that change something, with `query`: the session's search text after each.
+
+    A save of what is saved changes nothing, an unsave of what is not is refused; whether it is
+    saved hangs on the last save or unsave of the same id alone. Opens always take effect, so
+    what no document answers to must be left out before (see resolved).
+    """
+    rows = commands.where(F.col("action").isin(*LOGGED)).withColumn("arg", F.when(F.col("action") == "search", trim(F.coalesce("arg", F.lit("")))).otherwise(F.col("arg")))
+    kind = F.col("action").isin("save", "unsave")
+    before = F.lag("action").over(Window.partitionBy("session", "arg", kind).orderBy("at"))
+    saved = F.coalesce(before == "save", F.lit(False))
+    rows = rows.withColumn("_saved", F.when(kind, saved)).where(~kind | ((F.col("action") == "save") != F.col("_saved"))).drop("_saved")
+    sofar = Window.partitionBy("session").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("query", F.coalesce(F.last(F.when(F.col("action") == "search", F.col("arg")), ignorenulls=True).over(sofar), F.lit("")))
+
+
 def activity(commands: DataFrame, log: int = LOG) -> DataFrame:
     """(session, seq, who, action, detail): the last `log` entries of each session.
 
-    commands(session, at, who, action, arg). Blank searches and repeated saves leave no entry;
-    a sort leaves a search entry too when the session has searched.
+    Only what takes effect is logged; a blank search is not, and a sort searches again first,
+    which is an entry of its own when the session has a query.
     """
-    own = Window.partitionBy("session").orderBy("at")
-    rows = commands.where(F.col("action").isin(*LOGGED)).where((F.col("action") != "search") | (F.trim(F.coalesce("arg", F.lit(""))) != ""))
-    state = F.lag("action").over(Window.partitionBy("session", "arg").orderBy("at"))
-    rows = rows.withColumn("_before", F.when(F.col("action").isin("save", "unsave"), state))
-    rows = rows.where((F.col("action") != "save") | F.col("_before").isNull() | (F.col("_before") != "save"))
-    rows = rows.withColumn("seq", F.row_number().over(own))
-    last = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("at")))
-    return rows.withColumn("_n", last).where(F.col("_n") <= log).select("session", "seq", "who", "action", F.col("arg").alias("detail"))
+    again = F.when((F.col("action") == "sort") & (F.col("query") != ""), F.array(F.struct(F.lit("search").alias("action"), F.col("query").alias("detail")))).otherwise(F.array().cast("array<struct<action:string,detail:string>>"))
+    own = F.array(F.struct("action", F.col("arg").alias("detail")))
+    rows = effective(commands).where("action != 'search' or arg != ''").select("session", "at", "who", F.posexplode(F.concat(again, own)).alias("n", "e"))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("at", "n")))
+    last = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("seq")))
+    return rows.withColumn("_n", last).where(F.col("_n") <= log).select("session", "seq", "who", "e.action", "e.detail")
+
+
+def resolved(commands: DataFrame, docs: DataFrame) -> DataFrame:
+    """commands whose open, save and unsave name a document by its id; those that no document answers to are left out."""
+    kind = F.col("action").isin("open", "save", "unsave")
+    needles = commands.where(kind & F.col("arg").isNotNull()).select(F.col("arg").alias("needle")).distinct()
+    ids = fusion.resolve(docs, needles).join(docs.select("doc", F.col("id").alias("_id")), "doc").select("needle", "_id")
+    return commands.join(ids, (F.col("arg") == F.col("needle")) & kind, "left").where(~kind | F.col("_id").isNotNull()).withColumn("arg", F.coalesce("_id", "arg")).drop("needle", "_id")
 
 
 def named(entries: DataFrame, roster: DataFrame) -> DataFrame:
@@ -39,10 +65,15 @@ def saved_set(commands: DataFrame) -> DataFrame:
     return last.where("action = 'save'").select("session", "id", F.row_number().over(Window.partitionBy("session").orderBy("at", "id")).alias("pos"))
 
 
+def saved_docs(saved: DataFrame, docs: DataFrame) -> DataFrame:
+    """(session, pos, ...) of the saved ids that are in the corpus, with the columns of docs; others are left out."""
+    return saved.join(docs, "id")
+
+
 def signals(commands: DataFrame) -> DataFrame:
-    """(session, at, signal, detail): only a human's open, save and unsave are signalled."""
+    """(session, at, signal, detail): only a human's open, save and unsave are signalled, and only if they take effect."""
     kind = F.when(F.col("action") == "open", "doc.opened").otherwise("saved.changed")
-    return commands.where(F.col("who").isNull() & F.col("action").isin("open", "save", "unsave")).select("session", "at", kind.alias("signal"), F.col("arg").alias("detail"))
+    return effective(commands).where(F.col("who").isNull() & F.col("action").isin("open", "save", "unsave")).select("session", "at", kind.alias("signal"), F.col("arg").alias("detail"))
 
 
 def debounced(keys: DataFrame, gap: str = "220 milliseconds") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevia.operators import chunking, fusion
+from brevia.tables import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,17 +29,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages (chunk, doc, ord, text, vec): each document whole, and one for each vector of its number."""
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), F.col("doc_id").alias("doc"), F.lit(0).alias("ord"), "text")
-    return own.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vec")), "chunk", "left")
-
-
-def corpus(spark: SparkSession, sf_dir: str, dense: bool = True) -> fusion.Corpus:
-    chunks = units(spark, sf_dir)
-    return fusion.corpus(docs(spark, sf_dir), chunks if dense else chunks.drop("vec"))
-
-
 #: Numbers kept for the passages of a document.
 ROOM = 64
 
@@ -56,22 +46,16 @@ def vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
 
 
 def passage_corpus(spark: SparkSession, sf_dir: str) -> fusion.Corpus:
-    """The documents as passages, which are cached: several lists read them."""
-    chunks = passages(spark, sf_dir).persist()
+    """The documents as passages, which are written once: several lists read them."""
+    chunks = saved(passages(spark, sf_dir))
     return fusion.corpus(docs(spark, sf_dir), chunks, vectors(spark, sf_dir, chunks))
 
 
-def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(qid, query, vec): the first 40 characters of each benchmark text, every third led by a code, and a vector.
-
-    whole: all of each text, and no query without its text.
-    """
-    text = F.coalesce("text", F.lit("")) if whole else F.substring("text", 1, 40)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.alias("q"))
-    after = F.concat(F.lit(" "), F.col("q"))
-    if not whole:
-        after = F.when(F.col("qid") % 2 == 0, F.lit("")).otherwise(after)
-    text = F.when(F.col("qid") % 3 == 0, F.concat(F.lit("fr "), F.lpad((F.col("qid") % 400).cast("string"), 4, "0"), after)).otherwise(F.col("q"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query, vec): each benchmark text, every third led by a code, and a vector."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("q"))
+    code = F.concat(F.lit("fr "), F.lpad((F.col("qid") % 400).cast("string"), 4, "0"), F.lit(" "))
+    text = F.when(F.col("qid") % 3 == 0, F.concat(code, F.col("q"))).otherwise(F.col("q"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     return items.select("qid", text.alias("query")).join(vecs, "qid", "left")
 

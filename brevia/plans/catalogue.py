@@ -66,11 +66,9 @@ def PERCENT(t, keep):
 
 DOCS = """docs as (select doc_id as doc, 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') || '.' || lang || '.' || doc_id as id, 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') as code, (doc_id // 400)::int as rev,
   case when doc_id % 3 = 0 then 'tr' else 'en' end as lang, left(split_part(text, chr(10), 1), 80) as title, ['docx', 'xlsx', 'pdf', 'doc', 'zip'][doc_id % 5 + 1] as ext, text from documents)"""
-ASKED = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || case when item_id % 2 = 0 then '' else ' ' || left(text, 40) end else left(text, 40) end as query from benchmark),
-  coded as (select *, {TOKENS('query')} as tokens, {CODE('query')} as code from asked)"""
 
-#: The same with all of each text.
-ASKED_WHOLE = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || ' ' || coalesce(text, '') else coalesce(text, '') end as query from benchmark),
+#: Whole benchmark texts as queries, every third led by a code.
+ASKED = f"""asked as (select item_id as qid, case when item_id % 3 = 0 then 'fr ' || lpad((item_id % 400)::varchar, 4, '0') || ' ' || coalesce(text, '') else coalesce(text, '') end as query from benchmark),
   coded as (select *, {TOKENS('query')} as tokens, {CODE('query')} as code from asked)"""
 
 
@@ -93,23 +91,6 @@ def TERMS(source):
 COVER = """cover as (select m.qid, m.unit, m.c / r.c as coverage from (select qid, unit, count(*) as c from title_tf join terms using (term) group by qid, unit) m
   join (select qid, count(*) as c from terms join title_df using (term) group by qid) r using (qid))"""
 
-#: Everything of a search up to the fused scores of all candidates.
-SEARCH = f"""with {DOCS}, {ASKED},
-  hits as (select qid, doc from coded join docs using (code)),
-  bare_q as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
-  open_q as (select * from coded where qid not in (select qid from bare_q)),
-  {TERMS('open_q')}, {FIELD('title', 'docs', 'doc', 'title')}, {FIELD('body', 'documents', 'doc_id', 'text')}, {RANKED('title')}, {RANKED('body')}, {COVER},
-  dense_s as (select q.qid, v.vec_id as unit, list_dot_product(v.embedding::double[], e.embedding::double[]) as score from open_q q join embeddings e on e.vec_id = q.qid, embeddings v),
-  dense_r as (select qid, unit, score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from dense_s where unit in (select doc from docs) qualify rank < 200),
-  fused as (select qid, doc, sum(s) as score from (select c.qid, c.unit as doc, 0.2 * coverage * coverage as s from cover c join title_r r on r.qid = c.qid and r.unit = c.unit
-    union all select qid, unit, 1 / (61.0::double + rank) from body_r union all select qid, unit, 1 / (61.0::double + rank) from dense_r) group by qid, doc),
-  every as (select qid, doc, 'infinity'::double as score, 'code' as why from hits union all select qid, doc, score, 'match' from fused f where not exists (select 1 from hits h where h.qid = f.qid and h.doc = f.doc))"""
-
-
-def PAGE(order):
-    return f"{SEARCH}, page as (select qid, doc, score, why, row_number() over (partition by qid order by (why <> 'code')::int, {order} round(score, 9) desc, doc) as position from every join docs using (doc) qualify position <= 25)"
-
-
 SHOWN = "select qid, position, doc, case when why = 'code' then 1.0 else round(score, 6) end as score, why from page"
 
 
@@ -131,27 +112,22 @@ def stem(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select(F.explode(T.words(F.col("text"))).alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
-SPELLED = "case doc_id % 5 when 0 then 'form FR-' || lpad((doc_id % 400)::varchar, 4, '0') || ' nerede' when 1 then 'fr ' || (doc_id % 400) when 2 then 'FR_' || (doc_id % 400) || ' ' || left(text, 20) when 3 then 'projefr-' || doc_id else left(text, 60) end"
+#: Codes in several spellings, or none, before the whole text.
+SPELLED = "case doc_id % 5 when 0 then 'form FR-' || lpad((doc_id % 400)::varchar, 4, '0') || ' nerede ' when 1 then 'fr ' || (doc_id % 400) || ' ' when 2 then 'FR_' || (doc_id % 400) || ' ' when 3 then 'projefr-' || doc_id || ' ' else '' end || coalesce(text, '')"
 
 
 @query(f"select doc_id, {CODE('q')} as code from (select doc_id, {SPELLED} as q from documents)")
 def find_code(spark, sf_dir):
     d = F.col("doc_id")
     n = (d % 400).cast("string")
-    q = (
-        F.when(d % 5 == 0, F.concat(F.lit("form FR-"), F.lpad(n, 4, "0"), F.lit(" nerede")))
-        .when(d % 5 == 1, F.concat(F.lit("fr "), n))
-        .when(d % 5 == 2, F.concat(F.lit("FR_"), n, F.lit(" "), F.substring("text", 1, 20)))
-        .when(d % 5 == 3, F.concat(F.lit("projefr-"), d.cast("string")))
-        .otherwise(F.substring("text", 1, 60))
+    before = (
+        F.when(d % 5 == 0, F.concat(F.lit("form FR-"), F.lpad(n, 4, "0"), F.lit(" nerede ")))
+        .when(d % 5 == 1, F.concat(F.lit("fr "), n, F.lit(" ")))
+        .when(d % 5 == 2, F.concat(F.lit("FR_"), n, F.lit(" ")))
+        .when(d % 5 == 3, F.concat(F.lit("projefr-"), d.cast("string"), F.lit(" ")))
+        .otherwise(F.lit(""))
     )
-    return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(q).alias("code"))
-
-
-@query(f"select doc_id, {CODE('text')} as code from documents")
-def find_code_whole(spark, sf_dir):
-    """The first code of each whole text."""
-    return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(F.col("text")).alias("code"))
+    return on.table(spark, sf_dir, "documents").select("doc_id", T.find_code(F.concat(before, F.coalesce("text", F.lit("")))).alias("code"))
 
 
 @query(f"with {ASKED} select qid, code, len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0 as bare from coded where code is not null")
@@ -160,12 +136,6 @@ def bare_code(spark, sf_dir):
     return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
 
 
-@query(f"with {ASKED_WHOLE} select qid, code, len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0 as bare from coded where code is not null")
-def bare_code_whole(spark, sf_dir):
-    coded = fusion.with_codes(on.queries(spark, sf_dir, whole=True)).where("code is not null")
-    return coded.select("qid", "code", T.bare_code(F.col("tokens"), F.col("code")).alias("bare"))
-
-
 @query(rf"""select page_id, {PERCENT("url || ' ü/ş%20'", r"A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%")} as encoded from pages""")
 def encode_url(spark, sf_dir):
     return on.table(spark, sf_dir, "pages").select("page_id", T.encode_url(F.concat("url", F.lit(" ü/ş%20"))).alias("encoded"))
@@ -177,19 +147,8 @@ def view_url(spark, sf_dir):
     return on.table(spark, sf_dir, "pages").select("page_id", T.view_url(F.col("url"), ext).alias("view_url"), T.opens(F.col("url")).alias("opens"))
 
 
-MARKED = r"regexp_extract_all(left(text, 300), '([\p{L}\p{N}]+)', 1)"
-
-
-@query(f"select doc_id, len(list_filter({MARKED}, lambda w: {FOLD('w')} in ('the', 'that', 'de') or starts_with({FOLD('w')}, 'thent'))) as n_match from documents")
-def match_terms(spark, sf_dir):
-    terms = F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent"))
-    runs = F.filter(T.marks(F.substring("text", 1, 300), terms), lambda r: r["match"])
-    return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
-
-
 @query(f"select doc_id, len(list_filter(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}]+)', 1), lambda w: {FOLD('w')} in ('the', 'that', 'de') or starts_with({FOLD('w')}, 'thent'))) as n_match from documents")
-def match_terms_whole(spark, sf_dir):
-    """match_terms on all of each text."""
+def match_terms(spark, sf_dir):
     terms = F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent"))
     runs = F.filter(T.marks(F.col("text"), terms), lambda r: r["match"])
     return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
@@ -230,49 +189,29 @@ def field_stats(spark, sf_dir):
 
 @query(f"with {ASKED}, {TERMS('coded')}, {BODY_FIELD}, {RANKED('body')} select qid, unit as doc_id, round(score, 6) as score, rank from body_r")
 def bm25_topk(spark, sf_dir):
-    f = lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text")
-    out = lexical.ranked(f, lexical.query_terms(on.queries(spark, sf_dir)))
-    return out.select("qid", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
-
-
-@query(f"with {ASKED_WHOLE}, {TERMS('coded')}, {BODY_FIELD}, {RANKED('body')} select qid, unit as doc_id, round(score, 6) as score, rank from body_r")
-def bm25_topk_whole(spark, sf_dir):
     """Every term of the benchmark texts is a query term."""
-    f = lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text")
-    out = lexical.ranked(f, lexical.query_terms(on.queries(spark, sf_dir, whole=True)))
+    f = lexical.field(on.table(spark, sf_dir, "documents"), "doc_id", "text", keep=True)
+    out = lexical.ranked(f, lexical.query_terms(on.queries(spark, sf_dir)))
     return out.select("qid", F.col("unit").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {DOCS}, {ASKED}, {TERMS('coded')}, {FIELD('title', 'docs', 'doc', 'title')}, {COVER} select qid, unit as doc, round(coverage, 6) as coverage from cover")
 def title_coverage(spark, sf_dir):
-    f = lexical.field(on.docs(spark, sf_dir), "doc", "title")
+    f = lexical.field(on.docs(spark, sf_dir), "doc", "title", keep=True)
     return lexical.coverage(f, lexical.query_terms(on.queries(spark, sf_dir))).select("qid", F.col("unit").alias("doc"), F.round("coverage", 6).alias("coverage"))
 
 
-@query(f"with {DOCS}, {ASKED_WHOLE}, {TERMS('coded')}, {FIELD('title', 'docs', 'doc', 'title')}, {COVER} select qid, unit as doc, round(coverage, 6) as coverage from cover")
-def title_coverage_whole(spark, sf_dir):
-    f = lexical.field(on.docs(spark, sf_dir), "doc", "title")
-    return lexical.coverage(f, lexical.query_terms(on.queries(spark, sf_dir, whole=True))).select("qid", F.col("unit").alias("doc"), F.round("coverage", 6).alias("coverage"))
-
-
-DENSE = """with d as (select q.vec_id as qid, v.vec_id as unit, list_dot_product(v.embedding::double[], q.embedding::double[]) as score from embeddings v, (select * from embeddings where vec_id < 5) q)
+DENSE = """with d as (select q.vec_id as qid, v.vec_id as unit, list_dot_product(v.embedding::double[], q.embedding::double[]) as score from embeddings v, (select * from embeddings where vec_id % 20 = 0) q)
   select qid, unit, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, unit) - 1 as rank from d qualify rank < 200"""
 
 
 @query(DENSE)
 def dense_topk(spark, sf_dir):
-    vectors = on.table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
-    return dense.dense_ranked(vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec")), asked).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
-
-
-@query(DENSE.replace("vec_id < 5", "vec_id % 20 = 0"))
-def dense_topk_whole(spark, sf_dir):
     """Every twentieth vector is a query, so the queries grow with the table."""
     vectors = on.table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     units = vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec"))
-    return dense.dense_ranked(units, asked, blocks=dense.blocks_of(asked)).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
+    return dense.dense_ranked(units, asked).select("qid", "unit", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -289,53 +228,6 @@ def mask_mean_pool(spark, sf_dir):
 # --- hybrid search ---
 
 
-@query(f"{SEARCH} select qid, doc, round(score, 6) as score from fused")
-def fusion_rrf(spark, sf_dir):
-    c, asked = on.corpus(spark, sf_dir), on.queries(spark, sf_dir)
-    coded = fusion.with_codes(asked)
-    hits = fusion.code_hits(c.docs, coded)
-    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
-    open_ = coded.join(only, "qid", "left_anti")
-    terms = lexical.query_terms(open_)
-    titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
-    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
-    body = lexical.ranked(c.body, terms).select("qid", F.col("unit").alias("doc"), fusion.contribution().alias("score"))
-    near = dense.dense_ranked(c.chunks.where("vec is not null").select(F.col("chunk").alias("unit"), "vec"), open_).select("qid", F.col("unit").alias("doc"), fusion.contribution().alias("score"))
-    return fusion.fused(covered.select("qid", "doc", (fusion.TITLE_WEIGHT * F.col("coverage") ** 2).alias("score")), body, near).select("qid", "doc", F.round("score", 6).alias("score"))
-
-
-@query(f"{PAGE('')} {SHOWN}")
-def hybrid_search(spark, sf_dir):
-    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir)))
-
-
-@query(f"{PAGE('')} select qid, doc, position from page where why = 'code'")
-def code_search_pinned(spark, sf_dir):
-    return fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir)).where("why = 'code'").select("qid", "doc", "position")
-
-
-@query(f"{PAGE('code,')} {SHOWN}")
-def sort_by_code(spark, sf_dir):
-    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir), sort="code"))
-
-
-@query(f"{PAGE(TOKENS('title') + ',')} {SHOWN}")
-def sort_by_title(spark, sf_dir):
-    return shown(fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir), sort="title"))
-
-
-@query(f"{PAGE('')} select qid, doc, case when why = 'code' then '' else md5(text) end as passages from page join docs using (doc)")
-def passages_top3(spark, sf_dir):
-    out = fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir))
-    return out.select("qid", "doc", F.when(F.size("passages") == 0, "").otherwise(F.md5(F.array_join("passages", "\n"))).alias("passages"))
-
-
-@query(f"{PAGE('')} select qid, doc, md5(text) as snippet from page join docs using (doc)")
-def first_chunk_snippet(spark, sf_dir):
-    out = fusion.search(on.corpus(spark, sf_dir), on.queries(spark, sf_dir))
-    return out.select("qid", "doc", F.md5("snippet").alias("snippet"))
-
-
 NEEDLES = "needles as (select case when doc_id % 2 = 0 then 'FR-' || lpad((doc_id % 450)::varchar, 4, '0') else 'FR-' || lpad((doc_id % 400)::varchar, 4, '0') || '.' || lang || '.' || doc_id end as needle from documents group by all)"
 
 
@@ -388,8 +280,8 @@ def corpus_stats(spark, sf_dir):
 
 # --- search over passages, with whole benchmark texts as queries ---
 
-#: As SEARCH: a document counts with its best passage in a list; each vector belongs to a passage of document vec_id // 5.
-SEARCH_WHOLE = f"""{CUT}, {DOCS}, {ASKED_WHOLE},
+#: Everything of a search up to the fused scores of all candidates: a document counts with its best passage in a list; each vector belongs to a passage of document vec_id // 5.
+SEARCH = f"""{CUT}, {DOCS}, {ASKED},
   chunks as materialized (select doc * 64 as chunk, doc, 0 as ord, coalesce(title, '') as text from docs union all select doc * 64 + ord, doc, ord, title || chr(10) || trim(substr(body, s + 1, e - s), {WHITE}) from cut join docs on doc = doc_id),
   hits as (select qid, doc from coded join docs using (code)),
   bare_q as (select qid from coded where qid in (select qid from hits) and len(list_filter(tokens, lambda t: not (upper(t) = left(code, 2) or coalesce(try_cast(t as int) = substr(code, 4)::int, false)))) = 0),
@@ -410,62 +302,55 @@ PASSED = """parts as (select qid, doc, chunk, 1 / (61.0::double + rank) as part,
   passed as (select qid, doc, string_agg(text, chr(10) order by n) as passages, count(*) as n, max(text) filter (where n = 1) as snippet from best b join chunks using (doc, chunk) where (qid, doc) in (select (qid, doc) from page where why = 'match') group by qid, doc)"""
 
 
-def PAGE_WHOLE(order):
-    return PAGE(order).replace(SEARCH, SEARCH_WHOLE)
+def PAGE(order):
+    return f"{SEARCH}, page as (select qid, doc, score, why, row_number() over (partition by qid order by (why <> 'code')::int, {order} round(score, 9) desc, doc) as position from every join docs using (doc) qualify position <= 25)"
 
 
-def found_whole(spark, sf_dir, sort="relevance"):
-    return fusion.search(on.passage_corpus(spark, sf_dir), on.queries(spark, sf_dir, whole=True), sort=sort)
+def found(spark, sf_dir, sort="relevance"):
+    return fusion.search(on.passage_corpus(spark, sf_dir), on.queries(spark, sf_dir), sort=sort)
 
 
-@query(f"{SEARCH_WHOLE} select qid, doc, round(score, 6) as score from fused")
-def fusion_rrf_whole(spark, sf_dir):
-    c, coded = on.passage_corpus(spark, sf_dir), fusion.with_codes(on.queries(spark, sf_dir, whole=True))
-    hits = fusion.code_hits(c.docs, coded)
-    only = coded.join(hits.select("qid").distinct(), "qid", "left_semi").where(T.bare_code(F.col("tokens"), F.col("code"))).select("qid")
-    open_ = coded.join(only, "qid", "left_anti")
-    terms = lexical.query_terms(open_)
-    titles = lexical.ranked(c.title, terms).select("qid", F.col("unit").alias("doc"))
-    covered = lexical.coverage(c.title, terms).withColumnRenamed("unit", "doc").join(titles, ["qid", "doc"])
-    lists = fusion.passage_lists(c, terms, open_).groupBy("qid", "doc", "list").agg(F.min("rank").alias("rank")).select("qid", "doc", fusion.contribution().alias("score"))
-    return fusion.fused(covered.select("qid", "doc", (fusion.TITLE_WEIGHT * F.col("coverage") ** 2).alias("score")), lists).select("qid", "doc", F.round("score", 6).alias("score"))
+@query(f"{SEARCH} select qid, doc, round(score, 6) as score from fused")
+def fusion_rrf(spark, sf_dir):
+    scores = fusion.candidates(on.passage_corpus(spark, sf_dir), on.queries(spark, sf_dir)).scores
+    return scores.select("qid", "doc", F.round("score", 6).alias("score"))
 
 
-@query(f"{PAGE_WHOLE('')} {SHOWN}")
-def hybrid_search_whole(spark, sf_dir):
-    return shown(found_whole(spark, sf_dir))
+@query(f"{PAGE('')} {SHOWN}")
+def hybrid_search(spark, sf_dir):
+    return shown(found(spark, sf_dir))
 
 
-@query(f"{PAGE_WHOLE('')} select qid, doc, position from page where why = 'code'")
-def code_search_pinned_whole(spark, sf_dir):
-    return found_whole(spark, sf_dir).where("why = 'code'").select("qid", "doc", "position")
+@query(f"{PAGE('')} select qid, doc, position from page where why = 'code'")
+def code_search_pinned(spark, sf_dir):
+    return found(spark, sf_dir).where("why = 'code'").select("qid", "doc", "position")
 
 
-@query(f"{PAGE_WHOLE('code,')} {SHOWN}")
-def sort_by_code_whole(spark, sf_dir):
-    return shown(found_whole(spark, sf_dir, "code"))
+@query(f"{PAGE('code,')} {SHOWN}")
+def sort_by_code(spark, sf_dir):
+    return shown(found(spark, sf_dir, "code"))
 
 
-@query(f"{PAGE_WHOLE(TOKENS('title') + ',')} {SHOWN}")
-def sort_by_title_whole(spark, sf_dir):
-    return shown(found_whole(spark, sf_dir, "title"))
+@query(f"{PAGE(TOKENS('title') + ',')} {SHOWN}")
+def sort_by_title(spark, sf_dir):
+    return shown(found(spark, sf_dir, "title"))
 
 
-@query(f"{PAGE_WHOLE('')}, {PASSED} select page.qid, page.doc, coalesce(md5(passages), '') as passages, coalesce(n, 0) as n from page left join passed on passed.qid = page.qid and passed.doc = page.doc")
-def passages_top3_whole(spark, sf_dir):
-    out = found_whole(spark, sf_dir)
+@query(f"{PAGE('')}, {PASSED} select page.qid, page.doc, coalesce(md5(passages), '') as passages, coalesce(n, 0) as n from page left join passed on passed.qid = page.qid and passed.doc = page.doc")
+def passages_top3(spark, sf_dir):
+    out = found(spark, sf_dir)
     text = F.when(F.size("passages") == 0, "").otherwise(F.md5(F.array_join("passages", "\n")))
     return out.select("qid", "doc", text.alias("passages"), F.size("passages").cast("long").alias("n"))
 
 
-@query(f"{PAGE_WHOLE('')}, {PASSED} select page.qid, page.doc, md5(coalesce(snippet, title, '')) as snippet from page join docs using (doc) left join passed on passed.qid = page.qid and passed.doc = page.doc")
-def first_chunk_snippet_whole(spark, sf_dir):
-    return found_whole(spark, sf_dir).select("qid", "doc", F.md5("snippet").alias("snippet"))
+@query(f"{PAGE('')}, {PASSED} select page.qid, page.doc, md5(coalesce(snippet, title, '')) as snippet from page join docs using (doc) left join passed on passed.qid = page.qid and passed.doc = page.doc")
+def first_chunk_snippet(spark, sf_dir):
+    return found(spark, sf_dir).select("qid", "doc", F.md5("snippet").alias("snippet"))
 
 
 # --- ingest ---
 
-LINK = r"(?is)<a\b[^>]*?href=\"([^\"]*th[^\"]*)\"[^>]*>(.*?)</a>"
+LINK = r"(?is)<a\b[^>]*href\s*=\s*\"([^\"]*th[^\"]*)\"[^>]*>(.*?)</a>"
 
 
 @query(
@@ -479,14 +364,13 @@ def parse_listing(spark, sf_dir):
 
 ORIGIN = "https://forms.example.org"
 NUMBER, EXT, WORD = "lpad((doc_id % 400)::varchar, 4, '0')", "['docx', 'xlsx', 'pdf', 'doc', 'zip'][doc_id % 5 + 1]", "regexp_extract(text, '([A-Za-z]{3,})', 1)"
-LISTED = f"""with l0 as (select doc_id as pos, text, {NUMBER} as number, {EXT} as ext, {WORD} as word, case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-İngilizce/' else '/kalite/Formlar/' end as folder,
-    case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-%C4%B0ngilizce/' else '/kalite/Formlar/' end as raw from documents),
+LISTED = f"""with l0 as (select doc_id as pos, text, {NUMBER} as number, {EXT} as ext, {WORD} as word, case when doc_id % 7 = 0 then '/haber/' when doc_id % 3 = 0 then '/kalite/Formlar-İngilizce/' else '/kalite/Formlar/' end as folder from documents),
   l1 as (select *, case when pos % 2 = 0 then 'FR-' || number || ' ' || word || ' R' || (pos % 4) else 'FR-' || number || '_' || word || '_R2' end as stem from l0),
-  l2 as (select pos, text, '{ORIGIN}' || '/fileman' || raw || replace(stem || '.' || ext, ' ', '%20') as url, stem || '.' || ext as name, ext, case when starts_with(folder, '/kalite/') then case when contains(folder, 'İngilizce') then 'en' else 'tr' end end as lang,
+  l2 as (select pos, text, '{ORIGIN}' || '/fileman' || folder || stem || '.' || ext as url, stem || '.' || ext as name, ext, case when starts_with(folder, '/kalite/') then case when contains(folder, 'İngilizce') then 'en' else 'tr' end end as lang,
     'FR-' || number as code, case when pos % 2 = 0 then pos % 4 else 0 end::int as rev, case when pos % 2 = 0 then coalesce(nullif(word, ''), stem) else coalesce(nullif(word, ''), stem) end as title from l1),
-  l3 as (select *, case when lang is null then 'outside the document folder' when ext not in ('docx', 'xlsx', 'xlsm', 'pdf', 'doc', 'xls') then 'extension ' || ext end as cull_reason from l2),
+  l3 as (select *, case when lang is null then 'outside the document folder' when ext not in ('docx', 'xlsx', 'xlsm', 'pdf', 'doc', 'xls') then 'unreadable format .' || ext end as cull_reason from l2),
   l4 as (select *, row_number() over own as n, first_value(rev) over own as best, first_value(name) over own as winner from l3 where cull_reason is null window own as (partition by code, lang order by rev desc, (ext in ('docx', 'xlsx')) desc, pos)),
-  l5 as (select *, case when n > 1 then case when rev < best then 'superseded by R' || best else 'duplicate of ' || winner end end as superseded from l4)"""
+  l5 as (select *, case when n > 1 then case when rev < best then 'superseded by R' || best || ' (' || winner || ')' else 'duplicate of ' || winner end end as superseded from l4)"""
 
 
 def listed(spark, sf_dir):
@@ -527,12 +411,28 @@ def ingest_report(spark, sf_dir):
     return ingest.report(kept.unionByName(rows.where("cull_reason is not null").withColumn("superseded", F.lit(None).cast("string"))))
 
 
+@query(
+    f"""{LISTED}, r as (select l3.url, l3.name, l3.text, l3.cull_reason, l5.superseded from l3 left join l5 using (pos))
+    select 'culled' as list, url, name, cull_reason as reason from r where cull_reason is not null union all select 'superseded', url, name, superseded from r where superseded is not null
+    union all select 'no_text', url, name, null from r where cull_reason is null and superseded is null and coalesce(text, '') = ''"""
+)
+def ingest_report_rows(spark, sf_dir):
+    rows = listed(spark, sf_dir)
+    kept = ingest.best_revision(rows.where("cull_reason is null"))
+    return ingest.report_rows(kept.unionByName(rows.where("cull_reason is not null").withColumn("superseded", F.lit(None).cast("string"))))
+
+
 # --- session ---
 
 COMMANDS = """commands as (select user_id % 20 as session, event_id as at_, case when user_id % 5 <> 0 then user_id end as who, case event_type when 'view' then 'open' when 'signup' then 'save' when 'click' then 'search' when 'error' then 'unsave' else 'sort' end as action, props->>'k' as arg from events)"""
-ACTIVITY = f"""with {COMMANDS}, b as (select *, case when action in ('save', 'unsave') then lag(action) over (partition by session, arg order by at_) end as before from commands),
-  k as (select *, row_number() over (partition by session order by at_) as seq from b where action <> 'save' or before is null or before <> 'save'),
-  log as (select session, seq, who, action, arg as detail from k qualify row_number() over (partition by session order by at_ desc) <= 40)"""
+#: Each command with what its session said last of the same id, and searched last.
+STATE = f"""with {COMMANDS}, said as (select c.session, c.at_, max_by(p.action, p.at_) as last from commands c join commands p on p.session = c.session and p.arg = c.arg and p.at_ < c.at_ where c.action in ('save', 'unsave') and p.action in ('save', 'unsave') group by all),
+  asked as (select c.session, c.at_, max_by(trim(p.arg), p.at_) as query from commands c join commands p on p.session = c.session and p.at_ < c.at_ and p.action = 'search' where c.action = 'sort' group by all),
+  done as (select c.*, query from commands c left join said s on s.session = c.session and s.at_ = c.at_ left join asked a on a.session = c.session and a.at_ = c.at_
+    where case action when 'save' then last is distinct from 'save' when 'unsave' then last is not distinct from 'save' when 'search' then trim(coalesce(arg, '')) <> '' else true end)"""
+ACTIVITY = f"""{STATE}, e as (select session, at_, 0 as part, who, 'search' as action, query as detail from done where action = 'sort' and coalesce(query, '') <> '' union all select session, at_, 1, who, action, case when action = 'search' then trim(arg) else arg end from done),
+  k as (select *, row_number() over (partition by session order by at_, part) as seq, count(*) over (partition by session) as n from e),
+  log as (select session, seq, who, action, detail from k where seq > n - 40)"""
 
 
 @query(f"{ACTIVITY} select session, seq, who, action, detail from log")
@@ -546,20 +446,28 @@ def activity_named(spark, sf_dir):
     return session.named(session.activity(on.commands(spark, sf_dir)), roster).select("session", "seq", "action", "actor")
 
 
-@query(f"with {COMMANDS} select session, at_ as at, case when action = 'open' then 'doc.opened' else 'saved.changed' end as signal, arg as detail from commands where who is null and action in ('open', 'save', 'unsave')")
+@query(f"{STATE} select session, at_ as at, case when action = 'open' then 'doc.opened' else 'saved.changed' end as signal, arg as detail from done where who is null and action in ('open', 'save', 'unsave')")
 def signals(spark, sf_dir):
     return session.signals(on.commands(spark, sf_dir))
 
 
-@query(
-    f"""with {COMMANDS}, e as (select *, coalesce(lag(action) over (partition by session, arg order by at_) <> action, true) as fresh from commands where action in ('save', 'unsave')),
-    s as (select session, arg as id, max_by(action, at_) as action, max(case when fresh and action = 'save' then at_ end) as at_ from e group by session, arg)
-    select session, id, row_number() over (partition by session order by at_, id) as pos from s where action = 'save'"""
-)
+SAVED = f"""{STATE}, s as (select session, arg as id, max_by(action, at_) as action, max(at_) as at_ from done where action in ('save', 'unsave') group by session, arg),
+  kept as (select session, id, row_number() over (partition by session order by at_, id) as pos from s where action = 'save')"""
+
+
+@query(f"{SAVED} select session, id, pos from kept")
 def saved_set(spark, sf_dir):
     return session.saved_set(on.commands(spark, sf_dir))
 
 
+@query(f"{SAVED}, {DOCS} select session, pos, id, doc, title from (select session, pos, 'FR-' || lpad(id, 4, '0') || '.en.' || id as id from kept) join docs using (id)")
+def saved_docs(spark, sf_dir):
+    """Saved numbers as ids; those of documents in another language are not in the corpus."""
+    number = F.concat(F.lit("FR-"), F.lpad("id", 4, "0"), F.lit(".en."), F.col("id"))
+    saved = session.saved_set(on.commands(spark, sf_dir)).select("session", "pos", number.alias("id"))
+    return session.saved_docs(saved, on.docs(spark, sf_dir).select("id", "doc", "title"))
+
+
 @query(
     """with k as (select user_id as session, ts as at_, props->>'k' as query from events),
     g as (select *, case when at_ >= lag(at_) over (partition by session order by at_) + interval 30 minute then 1 when lag(at_) over (partition by session order by at_) is null then 1 else 0 end as fresh from k),

@@ -14,50 +14,55 @@ STATE = "state string"
 
 
 def empty() -> dict:
-    return {"seq": 0, "query": None, "searched_by": None, "sort": "relevance", "open": None, "saved": [], "log": []}
+    return {"seq": 0, "query": "", "searched_by": None, "searching": False, "sort": "relevance", "open": None, "saved": [], "log": []}
 
 
-def reduce(state: dict, who: str | None, action: str, arg: str | None, one_hit=lambda query: None) -> list[tuple[str, str | None, str, str]]:
-    """Applies a command to the state; rows (kind, who, action, detail) of what it logs and signals.
+def reduce(state: dict, who: str | None, action: str, arg: str | None, hit: str | None = None) -> list[tuple[int, str, str | None, str, str]]:
+    """Applies a command to the state; rows (seq, kind, who, action, detail) of what it logs, signals and refuses.
 
-    one_hit(query) is the only document with the query's code, or None.
+    hit: for a search, the document whose code alone the query found, which it opens. `begin` marks
+    a search as running. Entries of the log have rising numbers; a signal or refusal has the last one.
     """
     out: list = []
 
     def note(what: str, detail: str) -> None:
         state["seq"] += 1
         state["log"] = [*state["log"], [state["seq"], who, what, detail]][-LOG:]
-        out.append(("activity", who, what, detail))
+        out.append((state["seq"], "activity", who, what, detail))
+
+    def signal(what: str, detail: str) -> None:
+        if who is None:
+            out.append((state["seq"], "signal", who, what, detail))
+
+    def search(query: str) -> None:
+        state.update(query=query, searched_by=who, searching=False)
+        if hit is not None and query:
+            state["open"] = hit
+        if query:
+            note("search", query)
 
     arg = arg or ""
-    if action == "search" and arg.strip():
-        state.update(query=arg, searched_by=who)
-        if (doc := one_hit(arg)) is not None:
-            state["open"] = doc
-        note("search", arg)
+    if action == "begin":
+        state.update(query=arg.strip(), searched_by=who, searching=True)
+    elif action == "search":
+        search(arg.strip())
     elif action == "open":
         state["open"] = arg
         note("open", arg)
-        if who is None:
-            out.append(("signal", who, "doc.opened", arg))
+        signal("doc.opened", arg)
     elif action == "save" and arg not in state["saved"]:
         state["saved"] = [*state["saved"], arg]
         note("save", arg)
-        if who is None:
-            out.append(("signal", who, "saved.changed", arg))
+        signal("saved.changed", arg)
+    elif action == "unsave" and arg not in state["saved"]:
+        out.append((state["seq"], "error", who, "unsave", f"{arg} is not in the saved list"))
     elif action == "unsave":
-        if arg not in state["saved"]:
-            out.append(("error", who, "unsave", f"{arg} is not in the saved list"))
-        else:
-            state["saved"] = [x for x in state["saved"] if x != arg]
-            note("unsave", arg)
-            if who is None:
-                out.append(("signal", who, "saved.changed", arg))
+        state["saved"] = [x for x in state["saved"] if x != arg]
+        note("unsave", arg)
+        signal("saved.changed", arg)
     elif action == "sort":
         state["sort"] = arg
-        if state["query"]:
-            state["searched_by"] = who
-            note("search", state["query"])
+        search(state["query"])
         note("sort", arg)
     elif action == "attach":
         state["open"] = None
@@ -65,16 +70,15 @@ def reduce(state: dict, who: str | None, action: str, arg: str | None, one_hit=l
 
 
 def session_stream(commands: DataFrame) -> DataFrame:
-    """commands(session, seq, who, action, arg), streaming, to OUTPUT rows in the order of seq within each batch."""
+    """commands(session, seq, who, action, arg[, hit]), streaming, to OUTPUT rows in the order of the commands' seq within each batch."""
 
     def step(key, frames, state):
         now = json.loads(state.get[0]) if state.exists else empty()
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
         for r in rows.itertuples():
-            who = None if pd.isna(r.who) else r.who
-            for kind, by, action, detail in reduce(now, who, r.action, None if pd.isna(r.arg) else r.arg):
-                out.append((key[0], now["seq"], kind, by, action, detail))
+            who, arg, hit = (None if pd.isna(x) else x for x in (r.who, r.arg, getattr(r, "hit", None)))
+            out += [(key[0], *row) for row in reduce(now, who, r.action, arg, hit)]
         state.update((json.dumps(now),))
         yield pd.DataFrame(out, columns=["session", "seq", "kind", "who", "action", "detail"])
 

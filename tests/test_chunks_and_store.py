@@ -59,12 +59,25 @@ def test_index_round_trip_and_refusals(spark, tmp_path):
     with pytest.raises(index_store.BrokenIndex, match="no document"):
         index_store.check_index(docs.where("doc = 9"), chunks, "m", 2, "m")
     assert index_store.load_first(spark, [str(tmp_path / "none"), folder], "m") is not None
-
-
-def test_binary_index():
+    # written over, and found again after a stop between the two moves
+    index_store.write_index(docs, chunks.where("chunk = 0"), folder, "m", 2, "2024-01-02", "s")
+    assert index_store.read_index(spark, folder, "m")[1].count() == 1 and not (tmp_path / "index.old").exists()
+    (tmp_path / "index").rename(tmp_path / "index.old")
+    assert index_store.read_index(spark, folder, "m")[2].first().built == "2024-01-02"
+    (tmp_path / "index.old").rename(tmp_path / "index")
+    (tmp_path / "bad" / "docs").mkdir(parents=True)
+    assert index_store.load_first(spark, [str(tmp_path / "bad"), folder], "m", quarantine=True) is not None
+    assert (tmp_path / "bad.broken").exists() and not (tmp_path / "bad").exists()
+
+
+def test_binary_index(spark, tmp_path):
     header = json.dumps({"dim": 2, "docs": [{}], "chunks": [{"doc": 0, "ord": 0, "text": "x"}]}).encode()
     blob = MAGIC + struct.pack("<I", len(header)) + header + struct.pack("<2f", 1, 0)
     assert index_store.parse_binary(blob, MAGIC)[1].tolist() == [[1.0, 0.0]]
+    (tmp_path / "one.idx").write_bytes(blob)
+    assert index_store.import_binary(spark, str(tmp_path / "one.idx"), MAGIC).collect()[0].text == "x"
+    row = index_store.import_documents(spark, str(tmp_path / "one.idx"), MAGIC).collect()[0]
+    assert (row.doc, row.document, row.meta) == (0, "{}", '{"dim": 2}')
     for bad in (b"nothing", blob[:20], blob[:-4]):
         with pytest.raises(index_store.BrokenIndex):
             index_store.parse_binary(bad, MAGIC)
@@ -81,6 +94,14 @@ def test_forms(spark, tmp_path):
         index_store.form_text(forms, "..")
     with pytest.raises(LookupError):
         index_store.form_text(forms, "c.tr")
+    index_store.write_forms(forms, str(tmp_path / "out"))
+    back = index_store.read_forms(spark, str(tmp_path / "out"), lines=True)
+    assert sorted(map(str, back.select(sorted(forms.columns)).collect())) == sorted(map(str, forms.select(sorted(forms.columns)).collect()))
+    line = next(x for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines())
+    assert list(json.loads(line)) == sorted(f.name for f in index_store.FORM)
+    (tmp_path / "out" / "broken.json").write_text("{")
+    with pytest.raises(Exception):
+        index_store.read_forms(spark, str(tmp_path / "out"), lines=True).collect()
 
 
 def test_office_files(spark):
@@ -91,12 +112,18 @@ def test_office_files(spark):
                 z.writestr(n, t)
         return out.getvalue()
 
-    docx = zipped({"word/document.xml": "<w:p><w:t>Bir</w:t></w:p><w:p><w:t>İki</w:t></w:p>"})
-    xlsx = zipped({"xl/sharedStrings.xml": "<si><t>A</t></si>", "xl/worksheets/sheet1.xml": '<row><c t="s"><v>0</v></c><c><v>5</v></c></row>'})
+    word = '<w:document xmlns:w="urn:w">'
+    docx = zipped({
+        "word/document.xml": f"{word}<w:p><w:r><w:t>Bir</w:t></w:r><w:r><w:t>a &amp; b</w:t></w:r></w:p><w:p><w:t>İki</w:t><w:br/><w:t>c</w:t></w:p></w:document>",
+        "word/parts/header1.xml": f"{word}<w:p><w:t>Baş</w:t></w:p></w:document>",
+        "word/styles.xml": f"{word}<w:t>no</w:t></w:document>",
+    })
+    sheet = '<worksheet xmlns="urn:s"><sheetData><row r="1"><c t="s"><v>0</v></c><c/><c><v>5</v></c></row><row r="2"/><row r="3"><c t="inlineStr"><is><r><t>x</t></r><r><t> &lt;y</t></r></is></c><c t="s"><v>9</v></c></row></sheetData></worksheet>'
+    xlsx = zipped({"xl/sharedStrings.xml": '<sst xmlns="urn:s"><si><r><t>A</t></r><r><t>B</t></r></si></sst>', "xl/worksheets/sheet1.xml": sheet, "xl/worksheets/_rels/sheet1.xml.rels": "<x/>"})
     rows = spark.createDataFrame([("a.docx", docx), ("b.xlsx", xlsx), ("c.docx", b"broken"), ("d.pdf", b"x")], "path string, content binary")
     got = {r.path: r.text for r in index_store.extract_texts(rows).collect()}
-    assert [x.strip() for x in got["a.docx"].split("\n") if x.strip()] == ["Bir", "İki"]
-    assert got["b.xlsx"] == "A | 5" and got["c.docx"] == got["d.pdf"] == ""
+    assert [x.strip() for x in got["a.docx"].split("\n") if x.strip()] == ["Bir  a &amp; b", "İki", "c", "Baş"] or got["a.docx"].split() == "Bir a &amp; b İki c Baş".split()
+    assert got["b.xlsx"] == "AB | 5\nx &lt;y" and got["c.docx"] == got["d.pdf"] == ""
 
 
 def test_vectors(spark):

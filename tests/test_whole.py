@@ -18,14 +18,16 @@ def documents(spark, path, texts):
 
 
 def test_marks_of_whole_texts(spark, tmp_path):
-    rows = {r.doc_id: r.n_match for r in catalogue.QUERIES["match_terms_whole"](spark, documents(spark, tmp_path, LONG)).collect()}
+    rows = {r.doc_id: r.n_match for r in catalogue.QUERIES["match_terms"](spark, documents(spark, tmp_path, LONG)).collect()}
     hit = lambda w: w.lower() in ("the", "that", "de") or w.lower().startswith("thent")
     assert [rows[k] for k in range(5)] == [sum(map(hit, re.findall(r"\w+", t))) for t in LONG[:5]] == [3, 1, 5, 0, 0]
 
 
 def test_codes_of_whole_texts(spark, tmp_path):
-    rows = {r.doc_id: r.code for r in catalogue.QUERIES["find_code_whole"](spark, documents(spark, tmp_path, LONG)).collect()}
-    assert [rows[k] for k in range(6)] == ["FR-0083", "AB-0012", None, None, "FR-0012", None]
+    rows = {r.doc_id: r.code for r in catalogue.QUERIES["find_code"](spark, documents(spark, tmp_path, LONG)).collect()}
+    assert [rows[k] for k in range(6)] == ["FR-0000", "AB-0012", None, None, "FR-0012", "FR-0005"]
+    late = spark.createDataFrame([(k, t) for k, t in enumerate(LONG)], "k int, t string").select("k", T.find_code(F.col("t")).alias("code")).collect()
+    assert [r.code for r in sorted(late)] == ["FR-0083", "AB-0012", None, None, "FR-0012", None]
 
 
 def test_marks_join_like_one_by_one(spark):
@@ -52,15 +54,15 @@ def test_every_twentieth_vector_is_asked(spark, tmp_path, monkeypatch):
     for q in range(0, 230, 20):
         scored = sorted((-round(sum(x * y for x, y in zip(vectors[q], v)), 9), k) for k, v in enumerate(vectors))
         expected |= {(q, rank): k for rank, (_, k) in enumerate(scored[:200])}
-    for block in (8192, 5):
-        monkeypatch.setattr(dense, "BLOCK", block)
-        rows = catalogue.QUERIES["dense_topk_whole"](spark, str(tmp_path)).collect()
+    for block in (dense.BLOCK_BYTES, 5 * 3 * 8):
+        monkeypatch.setattr(dense, "BLOCK_BYTES", block)
+        rows = catalogue.QUERIES["dense_topk"](spark, str(tmp_path)).collect()
         assert len(rows) == 12 * 200 and {(r.qid, r["rank"]): r.unit for r in rows} == expected
 
 
 def test_queries_are_whole_texts(spark, sf):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    got = {r.qid: r.query for r in bindings.queries(spark, sf, whole=True).collect()}
+    got = {r.qid: r.query for r in bindings.queries(spark, sf).collect()}
     assert got == {k: f"fr {k % 400:04d} {t}" if k % 3 == 0 else t for k, t in texts.items()}
     assert min(map(len, texts.values())) > 40
 
@@ -70,8 +72,8 @@ def test_late_query_terms_count(spark, tmp_path):
     documents(spark, tmp_path, ["nothing", "one quince here"])
     spark.createDataFrame([(1, late)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [r.doc_id for r in catalogue.QUERIES["bm25_topk_whole"](spark, str(tmp_path)).collect()] == [1]
-    assert [(r.doc, r.coverage) for r in catalogue.QUERIES["title_coverage_whole"](spark, str(tmp_path)).collect()] == [(1, 1.0)]
+    assert [r.doc_id for r in catalogue.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()] == [1]
+    assert [(r.doc, r.coverage) for r in catalogue.QUERIES["title_coverage"](spark, str(tmp_path)).collect()] == [(1, 1.0)]
 
 
 def test_passages_of_long_documents(spark, sf):
@@ -81,6 +83,6 @@ def test_passages_of_long_documents(spark, sf):
     found = c.vectors.select("unit", "doc", "chunk").collect()
     assert len(found) == spark.read.parquet(f"{sf}/embeddings.parquet").where(F.floor(F.col("vec_id") / 5).isin(list(per))).count()
     assert all(r.doc == r.unit // 5 == r.chunk // bindings.ROOM and r.chunk % bindings.ROOM == min(r.unit % 5, per[r.doc] - 1) for r in found)
-    rows = catalogue.QUERIES["passages_top3_whole"](spark, sf).collect()
+    rows = catalogue.QUERIES["passages_top3"](spark, sf).collect()
     assert {r.n for r in rows} >= {2, 3} and max(r.n for r in rows) == 3
     spark.catalog.clearCache()
