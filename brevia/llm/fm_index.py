@@ -1,4 +1,8 @@
-"""FM-index over word numbers: suffix array by prefix doubling, wavelet matrix, backward search of many patterns at once."""
+"""Compressed FM-index over word numbers: a wavelet matrix of the Burrows-Wheeler transform and symbol counts.
+
+The suffix array, by prefix doubling, and the indexed text are needed to build it alone and
+are not kept. Matching statistics of many places of a streamed text are found at once.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ class WaveletMatrix:
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.bits = max(1, int(symbols - 1).bit_length())
         self.levels = []
-        s = sequence.astype(np.int64)
+        s = sequence.astype(np.int32)
         for level in range(self.bits - 1, -1, -1):
             bit = (s >> level & 1).astype(np.uint8)
             padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
@@ -67,32 +71,35 @@ class FMIndex:
 
     def __init__(self, segments: np.ndarray, lengths: np.ndarray, symbols: int):
         count = len(lengths)
-        self.begin = np.cumsum(lengths + 1) - (lengths + 1)  # of each segment in the text with borders
-        text = np.zeros(len(segments) + count, np.int64)
+        begin = np.cumsum(lengths + 1) - (lengths + 1)  # of each segment in the text with borders
+        text = np.zeros(len(segments) + count, np.int32)
         real = np.ones(len(text), bool)
-        real[self.begin + lengths] = False
+        real[begin + lengths] = False
         text[real] = segments
-        unique = text + count - 1
+        unique = text + np.int32(count - 1)
         unique[~real] = np.arange(count)
-        self.order = suffix_array(unique, int(lengths.max()) + 1)
-        bwt = text[self.order - 1]
+        bwt = text[suffix_array(unique, int(lengths.max()) + 1) - 1]
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.wavelet = WaveletMatrix(bwt, symbols)
-        self.text = text
 
-    def search(self, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pattern, low, high): intervals of suffixes for the patterns of `length` symbols that end before each place.
+    def matching(self, text: np.ndarray, ends: np.ndarray, room: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics before each of `ends` in a text: (length, low, high).
 
-        Patterns that occur once are given up as soon as that shows.
+        length: symbols of the longest run that ends there, within the `room` before it and at most
+        `most`, and that the index has more than once; low and high: its interval, 0 and 0 for none.
         """
-        symbol = self.text[ends - 1]
-        alive, low, high = np.arange(len(ends)), self.before[symbol], self.before[symbol + 1]
-        for k in range(1, length + 1):
+        length, lows, highs = (np.zeros(len(ends), np.int32) for _ in range(3))
+        at, symbol = np.arange(len(ends)), text[ends - 1]
+        low, high = self.before[symbol], self.before[symbol + 1]
+        for k in range(1, most + 1):
             more = high - low > 1
-            alive, low, high = alive[more], low[more], high[more]
-            if k == length:
+            at, low, high = at[more], low[more], high[more]
+            length[at], lows[at], highs[at] = k, low, high
+            go = room[at] > k
+            at, low, high = at[go], low[go], high[go]
+            if k == most or not len(at):
                 break
-            symbol = self.text[ends[alive] - k - 1]
+            symbol = text[ends[at] - k - 1]
             a, b = self.wavelet.ranks(symbol, low, high)
             low, high = self.before[symbol] + a, self.before[symbol] + b
-        return alive, low, high
+        return length, lows, highs

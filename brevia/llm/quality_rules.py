@@ -170,3 +170,11 @@ def verdict(rules: list[Rule]) -> Column:
     for rule in rules:
         out = F.when(rule.column(), F.lit(not rule.bad)) if out is None else out.when(rule.column(), F.lit(not rule.bad))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
+
+
+def rule_number(rules: list[Rule]) -> Column:
+    """Number from 1 of the first rule that holds, or null."""
+    out = F.lit(None).cast("int")
+    for k in range(len(rules), 0, -1):
+        out = F.when(rules[k - 1].column(), F.lit(k)).otherwise(out)
+    return out

@@ -194,7 +194,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = saved(quality_rules.statistics(table(spark, sf_dir, "documents")))  # a few numbers per document
     rules = quality_rules.learn(stats, learning_labels(spark, sf_dir))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality_rules.verdict(rules)).alias("kept"), quality_rules.rule_number(rules).alias("rule"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

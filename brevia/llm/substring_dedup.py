@@ -5,8 +5,9 @@ words. Neighbouring windows with one minimizer make a segment, which is sent to
 of its minimizer's hash: equal windows meet in one shard, whatever documents hold them,
 and no shard has to see all documents. Of equal segments in a batch only the earliest is
 sent; the others are repeats already. A shard leaves out segments whose minimizer occurs
-nowhere else, builds an FM-index over the words of the rest, streams the segments' windows through
-backward search, and reports each window whose interval holds an earlier place.
+nowhere else, builds a compressed FM-index over the words of the rest, streams the segments' words
+through it for their matching statistics, and reports each window that reaches the threshold
+and whose interval holds an earlier place.
 The reported word ranges return to their documents by id.
 """
 
@@ -26,6 +27,10 @@ from .fm_index import FMIndex
 WINDOW, GRAM = 20, 5
 #: Bytes of text whose segments are packed together, and shards for each shuffle partition.
 PACK, SHARDS = 8 << 20, 2
+#: Bytes of input for which there is a shard at least, where Spark knows the input's size, and the shards at most.
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
+#: Windows whose matching statistics are found at once.
+STREAMED = 1 << 18
 #: Words of one FM-index; minimizers of a larger shard are dealt over several.
 INDEX_WORDS = 1_500_000
 
@@ -179,13 +184,20 @@ def repeats(least, ids, place, size, texts: list[bytes], window: int) -> tuple[n
     order = np.lexsort((place, ids))
     w = words.words(pa.array([texts[k] for k in order.tolist()], pa.large_binary()).cast(pa.large_string()))
     _, symbol = np.unique(w.hash, return_inverse=True)
-    lengths = np.diff(w.first)
-    index = FMIndex(symbol + 1, lengths, int(symbol.max()) + 2)
+    symbol, lengths = symbol.astype(np.int32) + 1, np.diff(w.first)
+    index = FMIndex(symbol, lengths, int(symbol.max()) + 1)
     count = lengths - window + 1
     seg = np.repeat(np.arange(len(order)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    start = index.begin[seg] + inner
-    alive, low, high = index.search(start + window, window)
+    ends = w.first[:-1][seg] + inner + window
+    alive, low = [], []
+    for k in range(0, len(ends), STREAMED):  # the segments' words go by as a stream
+        part = slice(k, k + STREAMED)
+        length, lows, _ = index.matching(symbol, ends[part], inner[part] + window, window)
+        above = np.flatnonzero(length >= window)
+        alive.append(above + k)
+        low.append(lows[above])
+    alive, low = np.concatenate(alive), np.concatenate(low)
     # the places of an interval share its low end: one is the earliest by document and word
     o_id, o_place = ids[order], place[order]
     key = low
@@ -262,6 +274,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, ranges): word ranges [start, end) of windows that also start earlier, packed 32-bit pairs, several rows per id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:  # else Spark does not know it
+        partitions = max(partitions, min(size // SHARD_BYTES, MOST_SHARDS) // SHARDS)
     packs = rows.mapInArrow(_pack(partitions * SHARDS, window), "shard int, id long, payload binary")
     # repeats found on the way are spread by document
     key = F.when(F.col("shard") >= 0, F.col("shard").cast("long")).otherwise(F.col("id"))

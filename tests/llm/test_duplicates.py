@@ -121,18 +121,30 @@ def test_windows_edges(spark):
     assert substring_dedup.remove_repeats(df.where(F.lit(False))).count() == 0
 
 
-def test_backward_search():
+def test_matching_statistics():
     rnd = np.random.default_rng(4)
     lengths = rnd.integers(6, 20, 40)
-    text = rnd.integers(1, 5, lengths.sum())
+    text = rnd.integers(1, 5, lengths.sum()).astype(np.int32)
     index = FMIndex(text, lengths, 5)
     segs = np.split(text, np.cumsum(lengths)[:-1])
-    ends = np.concatenate([index.begin[s] + np.arange(4, lengths[s] + 1) for s in range(40)])
-    alive, low, high = index.search(ends, 4)
-    counts = Counter(tuple(s[k : k + 4]) for s in segs for k in range(len(s) - 3))
-    found = dict(zip(alive.tolist(), (high - low).tolist()))
-    patterns = [tuple(s[k - 4 : k]) for s in segs for k in range(4, len(s) + 1)]
-    assert all(found.get(k, 1) == counts[p] for k, p in enumerate(patterns))
+    first = np.cumsum(lengths) - lengths
+    for most in (4, 9):
+        counts = Counter(tuple(s[k : k + n]) for s in segs for n in range(1, most + 1) for k in range(len(s) - n + 1))
+        ends = np.concatenate([first[s] + np.arange(1, lengths[s] + 1) for s in range(40)])
+        room = np.concatenate([np.arange(1, lengths[s] + 1) for s in range(40)])
+        length, low, high = index.matching(text, ends, room, most)
+        for e, r, n, a, b in zip(ends.tolist(), room.tolist(), length.tolist(), low.tolist(), high.tolist()):
+            best = max((k for k in range(1, min(r, most) + 1) if counts[tuple(text[e - k : e])] > 1), default=0)
+            assert n == best and b - a == (counts[tuple(text[e - n : e])] if n else 0)
+
+
+def test_windows_of_odd_texts(spark):
+    """A very long text, one that repeats itself, empty and wordless texts, clashing columns, an unknown input size."""
+    own = " ".join(f"w{k}" for k in range(40_000))
+    rows = [(1, own), (2, "a " * 20_000), (3, ""), (4, " \n"), (5, own[: own.index("w500 ")]), (6, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("id", "ranges", "shard", "payload")})
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {1: (40_000, 0), 2: (20_000, 19_999), 3: (0, 0), 4: (0, 0), 5: (500, 500), 6: (1, 0)}
 
 
 def test_lines(spark):

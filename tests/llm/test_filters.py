@@ -1,8 +1,12 @@
 """Chat format, URL filter, classifier, rules, decontamination, pipeline."""
 
 import hashlib
+import itertools
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -76,6 +80,54 @@ def test_classifier_held_out(spark):
     assert np.mean([out[r.doc_id].predicted for r in labels if r.quality]) > 0.97
 
 
+def leader(rows, alpha=0.5, beta=1.0, l1=0.05, l2=1.0):
+    """Follow-the-regularised-leader in plain Python: weights by feature, None for the bias."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else (math.copysign(l1, zi) - zi) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for x, y in rows:
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[i] * v for i, v in x.items())))))
+        for i, v in x.items():
+            g = (p - y) * v
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return weight
+
+
+def grams(text):
+    """Tokens and neighbouring pairs of a text: runs of ASCII white space apart, letters and digits and bytes of other scripts, or the rest."""
+    kind = lambda b: 0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalnum() else 2
+    tokens = [bytes(g) for k, g in itertools.groupby((text or "").encode(), kind) if k]
+    return tokens + list(zip(tokens, tokens[1:]))
+
+
+def test_registered_classifier_is_the_leader(spark, sf):
+    """op5 over its whole table: features without hashing, the leader in plain Python."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = queries.learning_labels(spark, sf).join(spark.createDataFrame([(k,) for k in texts], "doc_id long"), "doc_id")
+    order = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").select("doc_id", "quality").collect()
+    assert 50 < len(order) < quality_classifier.MOST and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in order)
+
+    def vector(text):
+        counts = Counter(grams(text))
+        size = math.sqrt(max(sum(counts.values()), 1))
+        return {i: c / size for i, c in counts.items()} | {None: 1.0}
+
+    weight = leader((vector(texts[r.doc_id]), r.quality) for r in order)
+    got = {r.doc_id: r for r in queries.op5_quality_classifier(spark, sf).collect()}
+    assert set(got) == set(texts)
+    off = []
+    for k, t in texts.items():
+        score = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in vector(t).items())))
+        off.append(abs(score - got[k].score))
+        assert got[k].predicted == int(got[k].score >= 0.7)
+    assert max(off) < 0.15 and sum(x < 0.02 for x in off) > 0.9 * len(off)  # hashed features share a few weights
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "x !!", "c"), (2, "x !!", "c")], "doc_id long, text string, score string")
     empty = quality_classifier.fit(docs, spark.createDataFrame([(1, None)], "doc_id long, quality int"))
@@ -86,9 +138,6 @@ def test_classifier_edges(spark):
 
 
 def brute_statistics(t):
-    import re
-    from collections import Counter
-
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     cover = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
@@ -115,6 +164,44 @@ def test_rules_learn(spark):
     assert none == [] and stats.select(quality_rules.verdict(none)).first()[0] is True
 
 
+def test_registered_rules_by_brute_force(spark, sf):
+    """op10 over its whole table: base columns, base_failed, and the learnt list applied rule by rule."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    stats = quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet"))
+    rules = quality_rules.learn(stats, queries.learning_labels(spark, sf))
+    got = {r.doc_id: r for r in queries.op10_quality_rules(spark, sf).collect()}
+    assert set(got) == set(texts) and rules
+    for k, t in texts.items():
+        n_words, word_chars, n_symbols, n_dup, n_repeat = brute_statistics(t)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n"))
+        ratio = {"mean_word": word_chars / max(n_words, 1), "symbols": n_symbols / max(word_chars, 1), "dup_lines": n_dup / max(lines, 1), "repeats": n_repeat / max(n_words, 1), "upper": len(re.findall("[A-Z]", t or "")) / max(word_chars, 1)}
+        first = next((r for r in rules if all(ratio[n] < at if sign == "<" else ratio[n] >= at for n, sign, at in r.conditions)), None)
+        failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n_words, word_chars, n_symbols, n_dup, n_repeat, failed)
+        assert r.kept == (not failed and (first is None or not first.bad)) and r.rule == (None if first is None else rules.index(first) + 1)
+
+
+def test_rule_edges(spark):
+    df = spark.createDataFrame([(None, "a b", "x"), (1, None, "x"), (1, None, "x"), (2, "w " * 60000, "x")], "doc_id long, text string, n_words string")
+    rows = quality_rules.statistics(df).collect()
+    assert sorted((r.doc_id or -1, r.n_words, r.n_repeat_words) for r in rows) == [(-1, 2, 0), (1, 0, 0), (1, 0, 0), (2, 60000, 60000)]
+    assert quality_rules.statistics(df.where(F.lit(False))).count() == 0
+    out = url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([("a.com", 1)], "host string, bad int"), queries.URL_RULES, 0.3)
+    assert out.count() == 0
+
+
+def test_hostless_pages_and_suffix_lists(spark):
+    pages = spark.createDataFrame([(1, None), (2, "none"), (3, "http:///x"), (4, "http://a.b.gouv.fr/"), (5, "http://q.shop.test/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([("", 1)] * 50 + [("c.b.gouv.fr", 1)] * 50 + [("z.gouv.fr", 0)] * 50 + [("p.shop.test", 1)] * 50 + [("other.shop.test", 0)] * 9, "host string, bad int")
+    out = {r.page_id: r for r in url_filter.judge(pages, outcomes, [], 0.3).collect()}
+    assert all(out[k].verdict == "allow" and out[k].bound is None for k in (1, 2, 3))
+    hosts = spark.createDataFrame([("a.b.gouv.fr",), ("q.shop.test",), ("shop.test",), ("x.y.ne.jp",), ("h",)], "host string")
+    assert [(r.host, r.domain) for r in url_filter.with_suffix(hosts).orderBy("host").collect()] == [("a.b.gouv.fr", "b.gouv.fr"), ("h", "h"), ("q.shop.test", "shop.test"), ("shop.test", "shop.test"), ("x.y.ne.jp", "y.ne.jp")]
+    listed = url_filter.with_suffix(hosts, spark.createDataFrame([("shop.test",), ("test",), ("fr",)], "suffix string"))
+    assert [(r.host, r.suffix, r.domain) for r in listed.orderBy("host").collect()] == [("a.b.gouv.fr", "fr", "gouv.fr"), ("h", "h", "h"), ("q.shop.test", "shop.test", "q.shop.test"), ("shop.test", "shop.test", "shop.test"), ("x.y.ne.jp", "ne.jp", "y.ne.jp")]
+
+
 def semi_global(p, c):
     row, ramp = np.zeros(len(c) + 1, int), np.arange(len(c) + 1)
     for i, x in enumerate(p):
