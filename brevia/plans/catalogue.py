@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevia import app
 from brevia.functions import text as T
 from brevia.operators import chunking, dense, fusion, ingest, lexical, session
 from brevia.plans import bindings as on
@@ -348,6 +349,21 @@ def first_chunk_snippet(spark, sf_dir):
     return found(spark, sf_dir).select("qid", "doc", F.md5("snippet").alias("snippet"))
 
 
+@query(f"with {DOCS} select doc, id, code, rev, lang, title, ext, coalesce(text, '') = '' as title_only, doc % 7 = 0 as saved from docs")
+def doc_rows(spark, sf_dir):
+    docs = on.docs(spark, sf_dir)
+    out = app.rows(docs, None, docs.where("doc % 7 = 0").select("id"))
+    return out.select("doc", "id", "code", "rev", "lang", "title", "ext", "title_only", "saved")
+
+
+@query(
+    rf"""with {DOCS} select doc, trim(coalesce(case when doc % 2 = 0 then code end, left(regexp_replace(regexp_replace(coalesce(title, ''), '\.[^.]*$', ''), '[^A-Za-z0-9]+', '-', 'g'), 40)) || '.' || coalesce(lang, ''), '-.') as form_id from docs"""
+)
+def document_id(spark, sf_dir):
+    code = F.when(F.col("doc") % 2 == 0, F.col("code"))
+    return on.docs(spark, sf_dir).select("doc", T.document_id(code, F.coalesce("title", F.lit("")), F.col("lang")).alias("form_id"))
+
+
 # --- ingest ---
 
 LINK = r"(?is)<a\b[^>]*href\s*=\s*\"([^\"]*th[^\"]*)\"[^>]*>(.*?)</a>"
