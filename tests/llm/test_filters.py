@@ -164,8 +164,9 @@ def test_rules_learn(spark):
     assert none == [] and stats.select(quality_rules.verdict(none)).first()[0] is True
 
 
-def test_registered_rules_by_brute_force(spark, sf):
+def test_registered_rules_by_brute_force(spark):
     """op10 over its whole table: base columns, base_failed, and the learnt list applied rule by rule."""
+    sf = "/root/testdata/sf0.01"  # the smallest with labels enough for a rule
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     stats = quality_rules.statistics(spark.read.parquet(f"{sf}/documents.parquet"))
     rules = quality_rules.learn(stats, queries.learning_labels(spark, sf))
