@@ -30,11 +30,10 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float, le
     """(host, lines): hashes of the lines on more than `ratio` of the host's pages and on at least `least` of them."""
     rows = pages.select(F.col(host_col).alias("host"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("ls"))
     marks = F.array_distinct(F.transform(F.filter("ls", lambda x: _trimmed(x) != ""), lambda x: _mark(_trimmed(x))))
-    # a null line counts the page itself, so that host totals come from the same shuffle
-    lines = rows.select("host", F.explode(F.concat(F.array(F.lit(None).cast("struct<x:bigint,y:bigint>")), marks)).alias("m"))
-    counted = lines.groupBy("host", "m").agg(F.count("*").alias("c"))
-    totals = counted.where("m is null").select(F.col("host").alias("h"), F.col("c").alias("pages"))
-    often = counted.where(F.col("m").isNotNull() & (F.col("c") >= least))
+    # outer, since Spark would compute the lines again to leave out pages without any
+    lines = rows.select("host", F.explode_outer(marks).alias("m")).where("m is not null")
+    often = lines.groupBy("host", "m").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    totals = pages.groupBy(F.col(host_col).alias("h")).agg(F.count("*").alias("pages"))  # reads no text
     found = often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("c") > F.lit(ratio) * F.col("pages"))
     return found.groupBy("host").agg(F.collect_list("m").alias("lines"))
 
