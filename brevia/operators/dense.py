@@ -8,9 +8,11 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import best
 from .lexical import CANDIDATES, top
 
 
@@ -20,9 +22,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 #: Bytes of the query vectors that are broadcast together, 8 a number.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 #: Vectors of which a task multiplies so many at once with the block.
-ROWS = 512
+ROWS = 4096
 
 
 def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES, block_bytes: int | None = None) -> DataFrame:
@@ -51,6 +53,11 @@ def dense_ranked(vectors: DataFrame, queries: DataFrame, most: int = CANDIDATES,
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Vectors as rows of `dim` numbers, cut or filled up with zeros; a null is 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not column.null_count and len(column):
+        flat = column.flatten()
+        if not flat.null_count and (pc.list_value_length(column).to_numpy() == dim).all():
+            return flat.to_numpy(zero_copy_only=False).reshape(len(column), dim)
     out = np.zeros((len(column), dim))
     for k, v in enumerate(column):
         if v.is_valid and len(v):
@@ -62,24 +69,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _nearest(shared, most: int, dim: int):
     def work(batches):
         qids, asked = shared.value
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(qids))]
-        units: list = []  # of all batches: one id a vector
+        found, kind = best.Best(len(qids), most), None
         for batch in batches:
+            kind = batch.column(0).type
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                base = sum(map(len, units))
-                units.append(part.column(0))
-                scores = asked @ _matrix(part.column(1), dim).T
-                for q in range(len(qids)):
-                    s, i = np.append(held[q][0], scores[q]), np.append(held[q][1], np.arange(base, base + part.num_rows))
-                    if len(s) > most:  # ties at nine places may go either way later
-                        near = s >= np.partition(s, -most)[-most] - 2e-9
-                        s, i = s[near], i[near]
-                    held[q] = s, i
-        names = pa.chunked_array(units).combine_chunks() if units else None
-        for q, (s, i) in enumerate(held):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array([qids[q].as_py()] * len(s), qids.type), names.take(pa.array(i)), pa.array(s)], names=["qid", "unit", "score"])
+                found.add(best.ids(part.column(0)), asked @ _matrix(part.column(1), dim).T)
+        yield from found.batches(qids, kind)
 
     return work
 

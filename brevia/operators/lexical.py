@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevia.functions.text import let, tokenize
 from brevia.tables import saved, sized
 
+from . import best
+
 K1, B = 1.2, 0.75
 CANDIDATES = 200
 
@@ -71,18 +75,18 @@ def _asked(f: Field, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tf, terms.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
 
 
-def bm25(f: Field, terms: DataFrame) -> DataFrame:
-    """(qid, unit, score) of every unit with a query term.
-
-    Weights of the asked terms meet the postings, by a broadcast while they are few; sums are
-    combined before they are shuffled, since a unit's postings are in one task.
-    """
-    tf, known = _asked(f, terms)
+def weighted(f: Field, terms: DataFrame) -> DataFrame:
+    """(term, qid, w, avg_len): what a term's frequency in a unit counts for a query, for the terms that the field has."""
+    _, known = _asked(f, terms)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = known.join(F.broadcast(f.stats)).select("term", "qid", (F.col("qtf") * idf * (K1 + 1)).alias("w"), "avg_len")  # stats: one row
-    weights = saved(weights)
+    return saved(known.join(F.broadcast(f.stats)).select("term", "qid", (F.col("qtf") * idf * (K1 + 1)).alias("w"), "avg_len"))  # stats: one row
+
+
+def bm25(f: Field, terms: DataFrame) -> DataFrame:
+    """(qid, unit, score) of every unit with a query term; for the best of them see ranked()."""
+    weights = weighted(f, terms)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    return tf.join(sized(weights), "term").groupBy("qid", "unit").agg(F.sum(F.col("w") * F.col("tf") / norm).alias("score"))
+    return f.tf.join(sized(weights), "term").groupBy("qid", "unit").agg(F.sum(F.col("w") * F.col("tf") / norm).alias("score"))
 
 
 def top(scored: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -92,13 +96,63 @@ def top(scored: DataFrame, most: int = CANDIDATES) -> DataFrame:
     The limit is on row_number() itself, so that each task cuts its own rows before the shuffle.
     """
     order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "unit")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return best.withColumn("rank", F.col("rank") - 1)
+    cut = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return cut.withColumn("rank", F.col("rank") - 1)
+
+
+#: Queries whose weights tasks have at once, and postings of a unit's that are multiplied with them at once.
+BLOCK, POSTINGS = 256, 1 << 14
 
 
 def ranked(f: Field, terms: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """(qid, unit, score, rank) of the positive BM25 scores."""
-    return top(bm25(f, terms).where("score > 0"), most)
+    """(qid, unit, score, rank) of the positive BM25 scores.
+
+    Queries go to the tasks in blocks of BLOCK as a matrix of weights by term; a task scores its own
+    units, whose postings are one row each, and keeps each query's best. No posting is shuffled.
+    """
+    weights = weighted(f, terms)
+    kinds = f"qid {dict(terms.dtypes)['qid']}, unit {dict(f.rows.dtypes)['unit']}, score double"
+    asked = weights.select("qid").distinct().count()
+    blocks, out = max(1, -(-asked // BLOCK)), None
+    for k in range(blocks):
+        block = weights.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else weights
+        shared = weights.sparkSession.sparkContext.broadcast(block.toArrow())  # the terms of about BLOCK queries
+        part = f.rows.mapInArrow(_scored(shared, most), kinds)
+        out = part if out is None else out.unionByName(part)
+    return top(out, most)
+
+
+def _scored(shared, most: int):
+    def work(batches):
+        asked = shared.value
+        vocabulary, qids = (pc.unique(asked[c]) for c in ("term", "qid"))
+        table = np.zeros((len(vocabulary), len(qids)))
+        at = [pc.index_in(asked[c], value_set=v).to_numpy() for c, v in (("term", vocabulary), ("qid", qids))]
+        table[at[0], at[1]] = asked["w"].to_numpy()
+        mean = asked["avg_len"][0].as_py() if len(asked) else 1.0
+        found, kind = best.Best(len(qids), most), None
+        for batch in batches:
+            kind = batch.column("unit").type
+            terms = batch.column("terms")
+            flat = terms.flatten()
+            row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+            term = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary), -1).to_numpy()
+            known = np.flatnonzero(term >= 0)
+            row, term, tf = row[known], term[known], flat.field("tf").to_numpy()[known]
+            size = batch.column("len").to_numpy()[row]
+            value = tf / (tf + K1 * (1 - B + B * size / mean))
+            units = best.ids(batch.column("unit"))
+            cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+            first = 0
+            while first < len(cut):  # whole units, POSTINGS at a time or one unit
+                last = max(int(np.searchsorted(cut, cut[first] + POSTINGS)), first + 1)
+                a, b = cut[first], cut[last] if last < len(cut) else len(row)
+                scores = np.add.reduceat(table[term[a:b]] * value[a:b, None], cut[first:last] - a, axis=0).T
+                found.add(units[row[cut[first:last]]], scores, scores > 0)
+                first = last
+        yield from found.batches(qids, kind)
+
+    return work
 
 
 def coverage(f: Field, terms: DataFrame) -> DataFrame:

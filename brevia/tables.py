@@ -26,13 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found.get()
 
 
+#: Folders of this driver's tables, until drop_all().
+_written: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df in the shared folder, by columns, so that later jobs read those they need; lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Deletes all tables that saved() has written; for when the results that read them are done with."""
+    while _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has no more than `most` rows; else Spark joins it by a shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from brevia import tables
 from brevia.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,7 +21,7 @@ def shape(df):
 def test_matches_sql(spark, sf, name):
     out = catalogue.QUERIES[name](spark, sf)
     a = pd.DataFrame([tuple(r) for r in out.collect()], columns=out.columns, dtype=object)
-    spark.catalog.clearCache()
+    tables.drop_all(spark)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
