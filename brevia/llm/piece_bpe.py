@@ -23,8 +23,8 @@ from functools import cached_property
 import ahocorasick
 import sentencepiece
 
-#: SentencePiece writes a space as this character.
-SPACE_MARK = "▁"
+#: SentencePiece writes a space as MARK and takes a MARK in a text for a space. Here both are spaces: one byte a character.
+MARK, SPACE = "▁", " "
 #: Rank of a merge that never happens.
 NEVER = float("inf")
 
@@ -32,19 +32,19 @@ NEVER = float("inf")
 class Model:
     """Vocabulary of a SentencePiece BPE model with byte fallback, begin and end ids."""
 
-    def __init__(self, blob: bytes, cached_units: int = 100_000, cached_pairs: int = 150_000):
+    def __init__(self, blob: bytes, cached_units: int = 150_000, cached_pairs: int = 150_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
         n = sp.get_piece_size()
         self.bos, self.eos, self.cached_pairs = sp.bos_id(), sp.eos_id(), cached_pairs
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)}
-        self.pieces = [None if i in special else sp.id_to_piece(i) for i in range(n)]
+        self.pieces = [None if i in special else sp.id_to_piece(i).replace(MARK, SPACE) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if p}
         self.singles = frozenset(p for p in self.ids if len(p) == 1)
         #: Merges happen in the order of score, highest first, then from the left.
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self._check(sp, special)
-        surface = [(p or "").replace(SPACE_MARK, " ").encode() for p in self.pieces]
+        surface = [(p or "").encode() for p in self.pieces]
         for b, i in enumerate(self.byte_ids):
             surface[i] = bytes([b])
         self.surface = surface
@@ -58,20 +58,20 @@ class Model:
         multi = [p for p in self.ids if len(p) > 1]
         if any(not sp.is_byte(i) for i in self.byte_ids):
             raise ValueError("the model has no byte fallback")
-        if any(SPACE_MARK in p.lstrip(SPACE_MARK) or "\n" in p for p in multi):
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in multi):
             raise ValueError("a piece crosses the border of a unit")
         if any(c not in self.ids for p in multi for c in p):
             raise ValueError("a piece holds a character that is no piece")
         for probe in ("a", " a  b ", "Ａ ﬁ́", "\t\n "):
-            if sp.decode(sp.encode(probe)) != probe or sp.encode(probe, out_type=str)[0][:1] != SPACE_MARK:
+            if sp.decode(sp.encode(probe)) != probe or sp.encode(probe, out_type=str)[0][:1] != MARK:
                 raise ValueError("the model normalises texts or adds no space before them")
 
     def _units(self) -> re.Pattern:
         """A unit also ends with its letters, unless what follows is joined to a letter in some piece."""
-        letter, other = r"[^\W\d_]", rf"(?:[^{SPACE_MARK}\n\w]|[\d_])"
+        letter, other = r"[^\W\d_]", rf"(?:[^{SPACE}\n\w]|[\d_])"
         joined = sorted({b for p in self.ids for a, b in zip(p, p[1:]) if re.match(letter, a) and not re.match(letter, b)})
         ends = f"(?![{re.escape(''.join(joined))}])" if joined else ""
-        return re.compile(f"{SPACE_MARK}*+{letter}++{ends}|\n|{SPACE_MARK}*+{other}++{letter}*+{ends}|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
+        return re.compile(f"{SPACE}*+{letter}++{ends}|\n|{SPACE}*+{other}++{letter}*+{ends}|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
     @cached_property
     def automaton(self):
@@ -189,7 +189,7 @@ class Model:
 
     def split(self, text: str) -> list[str]:
         """Units of a text, with the space that the model puts before it; none for an empty text."""
-        return self.units.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
+        return self.units.findall(SPACE + text.replace(MARK, SPACE)) if text else []
 
     def encode(self, text: str, add_bos: bool = True, add_eos: bool = True) -> bytes:
         body = b"".join(map(self.unit_ids.__getitem__, self.split(text)))
@@ -200,7 +200,7 @@ class Model:
         out = b"".join(map(self.surface.__getitem__, ids))
         for i in ids:  # the space before the text goes if the first piece has it
             if i != self.bos and i != self.eos:
-                if self.pieces[i] and self.pieces[i].startswith(SPACE_MARK):
+                if self.pieces[i] and self.pieces[i].startswith(SPACE):
                     out = out[1:]
                 break
         return out

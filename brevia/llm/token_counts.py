@@ -51,7 +51,7 @@ def frequent(df: DataFrame, model_path: str, text_col: str = "text", summary: in
 
 def _lengths(sp, units: list[str]) -> list[int]:
     """Tokens of each pre-token, as part of a text: a newline in front keeps the library from adding a space."""
-    mark, texts, less = piece_bpe.SPACE_MARK, [], []
+    mark, texts, less = piece_bpe.SPACE, [], []
     for u in units:
         inside = u[0] != mark
         texts.append("\n" + u if inside else u[1:])
