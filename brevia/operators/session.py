@@ -77,7 +77,20 @@ def signals(commands: DataFrame) -> DataFrame:
 
 
 def debounced(keys: DataFrame, gap: str = "220 milliseconds") -> DataFrame:
-    """(session, fired, query): the last text typed before each pause, when the pause is over."""
+    """(session, fired, query): the last text typed before each pause, when the pause is over.
+
+    keys(session, at, query[, key]); key `enter` fires at once, `escape` types the empty text.
+    """
+    own = Window.partitionBy("session").orderBy("at")
+    key = F.col("key") if "key" in keys.columns else F.lit(None).cast("string")
+    rows = keys.select("session", "at", F.when(key == "escape", "").otherwise(F.col("query")).alias("query"), F.coalesce(key == "enter", F.lit(False)).alias("enter"))
+    over = F.col("at") + F.expr(f"interval {gap}")
+    rows = rows.withColumn("next", F.lead("at").over(own)).where(F.col("enter") | F.col("next").isNull() | (F.col("next") >= over))
+    return rows.select("session", F.when(F.col("enter"), F.col("at")).otherwise(over).alias("fired"), "query")
+
+
+def debounced_stream(keys: DataFrame, gap: str = "220 milliseconds") -> DataFrame:
+    """debounced() of a watermarked stream, without keys: a window fires when the watermark passes its end."""
     grouped = keys.groupBy("session", F.session_window("at", gap).alias("w")).agg(F.max_by("query", "at").alias("query"))
     return grouped.select("session", F.col("w.end").alias("fired"), "query")
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevia import app
+from brevia import app, tables
 from brevia.functions import text as T
 from brevia.operators import chunking, dense, fusion, ingest, lexical, session
 from brevia.plans import bindings as on
@@ -155,6 +155,48 @@ def match_terms(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select("doc_id", F.size(runs).alias("n_match"))
 
 
+HIT = f"{FOLD('w')} in ('the', 'that', 'de') or starts_with({FOLD('w')}, 'thent')"
+
+
+@query(
+    rf"""with r as (select doc_id, regexp_extract_all(text, '([\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+)', 1) as rs from documents), m as (select doc_id, rs, list_transform(rs, lambda w: {HIT}) as hs from r),
+    n as (select doc_id, rs, hs, array_to_string(list_transform(hs, lambda h: case when h then 'm' else '-' end), '') as shape from m)
+    select doc_id, len(regexp_extract_all(shape, 'm|-+')) as n_runs, md5(array_to_string(list_transform(range(1, len(rs) + 1), lambda i: case when hs[i] then '[' || rs[i] || ']' else rs[i] end), '')) as marked from n"""
+)
+def mark_runs(spark, sf_dir):
+    """Runs with what does not match joined, and the text with matches in brackets."""
+    runs = T.marks(F.col("text"), F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent")))
+    rows = on.table(spark, sf_dir, "documents").select("doc_id", runs.alias("rs"))
+    marked = F.array_join(F.transform("rs", lambda r: F.when(r["match"], F.concat(F.lit("["), r["text"], F.lit("]"))).otherwise(r["text"])), "")
+    return rows.select("doc_id", F.size("rs").cast("long").alias("n_runs"), F.md5(marked).alias("marked"))
+
+
+@query(
+    rf"""with p as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WHITE})), lambda b: b <> '' and len(list_filter(regexp_extract_all(b, '([\p{{L}}\p{{N}}]+)', 1), lambda w: {HIT})) > 0) as found from documents)
+    select doc_id, array_to_string(case when len(found) > 0 then found[1:2] else [left({BODY('text')}, 200)] end, '|') as evidence from p"""
+)
+def evidence(spark, sf_dir):
+    """Lines of a text as titled passages, the text as the snippet."""
+    passages = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("T\n"), x))
+    terms = F.array(F.lit("the"), F.lit("that"), F.lit("de"), F.lit("thent"))
+    return on.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.evidence(passages, F.col("text"), terms), "|").alias("evidence"))
+
+
+@query(f"select item_id, case when trim(coalesce(text, ''), {WHITE}) = '' or item_id % 10 = 0 then '' else '“' || text || '” — ' || item_id || ' sonuç' end as title from benchmark")
+def results_title(spark, sf_dir):
+    query_ = F.when(F.col("item_id") % 10 == 0, F.lit(" \t")).otherwise(F.coalesce("text", F.lit("")))
+    return on.table(spark, sf_dir, "benchmark").select("item_id", T.results_title(query_, F.col("item_id")).alias("title"))
+
+
+NAMES = ("relevance", " Relevans", "SCORE", "kod", "code", "form", "AD", "isim ", "title", "name", "size", "")
+
+
+@query(f"select doc_id, case doc_id % {len(NAMES)} when 0 then 'relevance' when 1 then 'relevance' when 2 then 'relevance' when 3 then 'code' when 4 then 'code' when 5 then 'code' when 6 then 'title' when 7 then 'title' when 8 then 'title' when 9 then 'title' end as sort from documents")
+def sort_names(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int"))
+    return on.table(spark, sf_dir, "documents").select("doc_id", T.sort_name(name).alias("sort"))
+
+
 @query(f"select doc_id, {BODY('text')} as body from documents")
 def passage_body(spark, sf_dir):
     return on.table(spark, sf_dir, "documents").select("doc_id", T.passage_body(F.col("text")).alias("body"))
@@ -226,6 +268,14 @@ def mask_mean_pool(spark, sf_dir):
     return pooled.select("label", "n", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.round(F.sum(F.col("x") * F.col("n")) / F.sum("n"), 6).alias("x")).select("label", "x", (F.col("k") + 1).cast("int").alias("k"))
 
 
+@query("select vec_id, len(embedding)::int as dim, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x / greatest(list_dot_product(embedding::double[], embedding::double[]), 1e-24)))), 6) as length from embeddings")
+def unit_vectors(spark, sf_dir):
+    """Vectors of the length that is asked, made unit vectors."""
+    rows = dense.checked(on.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec")), 64)
+    unit = rows.withColumn("u", dense.normalized(F.col("vec")))
+    return unit.select("vec_id", F.size("vec").alias("dim"), F.round(F.sqrt(dense.dot(F.col("u"), F.col("u"))), 6).alias("length"))
+
+
 # --- hybrid search ---
 
 
@@ -279,6 +329,25 @@ def corpus_stats(spark, sf_dir):
     return n.join(F.broadcast(on.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("chunks")))).select("documents", "chunks", F.lit("2024-01-01").alias("built"), F.lit("test").alias("source"))
 
 
+@query(f"with {DOCS} select id, code, rev, lang, title, ext, md5(coalesce(text, '')) as text from docs")
+def forms_round_trip(spark, sf_dir):
+    """Forms written as JSON lines and read again."""
+    forms = on.docs(spark, sf_dir).select("id", "code", "rev", "lang", "title", F.col("id").alias("name"), "ext", F.col("id").alias("url"), "text")
+    folder = tables.named_folder(spark, "forms")
+    index_store.write_forms(forms, folder)
+    return index_store.read_forms(spark, folder, lines=True).select("id", "code", "rev", "lang", "title", "ext", F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("select vec_id // 5 as doc, count(*) as n, round(sum(embedding[1]::double), 6) as first from embeddings where vec_id // 5 in (select doc_id from documents) group by 1")
+def index_round_trip(spark, sf_dir):
+    """An index written, checked, moved into place and read again."""
+    docs = on.docs(spark, sf_dir)
+    chunks = on.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk"), F.floor(F.col("vec_id") / 5).alias("doc"), F.lit(0).alias("ord"), F.lit("").alias("text"), F.col("embedding").alias("vec"))
+    folder = index_store.write_index(docs, chunks.join(docs.select("doc"), "doc", "left_semi"), tables.named_folder(spark, "index"), "m", 64, "2024-01-01", "test")
+    _, back, _ = index_store.read_index(spark, folder, "m")
+    return back.groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.get("vec", F.lit(0)).cast("double")), 6).alias("first"))
+
+
 # --- search over passages, with whole benchmark texts as queries ---
 
 #: Everything of a search up to the fused scores of all candidates: a document counts with its best passage in a list; each vector belongs to a passage of document vec_id // 5.
@@ -495,6 +564,19 @@ def debounced_queries(spark, sf_dir):
     return session.debounced(keys, "30 minutes")
 
 
+@query(
+    """with k as (select event_id // 50 as session, epoch_ms(event_id * 200 + event_id * 7919 % 97) as at_, case when event_id % 11 = 0 then 'enter' when event_id % 13 = 0 then 'escape' end as key, props->>'k' as query from events),
+    n as (select *, (select min(q.at_) from k q where q.session = k.session and q.at_ > k.at_) as next from k)
+    select session, case when key = 'enter' then at_ else at_ + interval 220 millisecond end as fired, case when key = 'escape' then '' else query end as query from n where key = 'enter' or next is null or next >= at_ + interval 220 millisecond"""
+)
+def debounced_keys(spark, sf_dir):
+    """Key strokes about 220 ms apart, fifty a session, with Enter and Escape."""
+    i = F.col("event_id")
+    key = F.when(i % 11 == 0, "enter").when(i % 13 == 0, "escape")
+    keys = on.table(spark, sf_dir, "events").select(F.floor(i / 50).alias("session"), F.timestamp_millis(i * 200 + i * 7919 % 97).alias("at"), F.get_json_object("props", "$.k").alias("query"), key.alias("key"))
+    return session.debounced(keys)
+
+
 @query(
     """with s as (select user_id as job, event_id as seq, floor(100 * (props->>'k')::double / 10 / 10.0)::bigint as percent from events), l as (select *, lag(percent) over (partition by job order by seq) as b from s)
     select job, seq, percent from l where b is null or b <> percent"""

@@ -38,6 +38,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which drop_all() deletes too."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def drop_all(spark: SparkSession) -> None:
     """Deletes all tables that saved() has written; for when the results that read them are done with."""
     while _written:
