@@ -60,7 +60,7 @@ def bare_code(tokens: Column, code: Column) -> Column:
     return F.coalesce(F.forall(tokens, lambda t: part_of_code(t, code)), F.lit(False))
 
 
-#: Ingest codes and revisions (O-17, O-18); the flag makes \\b follow Unicode words.
+#: Ingest codes and revisions (O-17, O-18; fixed values); the flag makes \\b follow Unicode words.
 INGEST_CODE = r"(?U)\b([A-ZÇĞİÖŞÜ]{2})[-_ ]{0,2}(\d{3,4})\b"
 REVISION = r"(?iU)\bR(\d{1,2})\b"
 
@@ -102,9 +102,13 @@ def percent_encoded(text: Column, keep: str) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(f"^[{keep}]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))), "")
 
 
+#: Characters that stay in a URL, and in a part of one (fixed values).
+URL_KEPT, PART_KEPT = r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%", r"A-Za-z0-9\-_.!~*'()"
+
+
 def encode_url(url: Column) -> Column:
     """Everything but URL characters as percent bytes; what is encoded stays (O-24)."""
-    return percent_encoded(url, r"A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%")
+    return percent_encoded(url, URL_KEPT)
 
 
 #: Prefix of the office document viewer (fixed value).
@@ -113,7 +117,7 @@ VIEWER = "https://view.officeapps.live.com/op/view.aspx?src="
 
 def view_url(url: Column, ext: Column) -> Column:
     """The url for a pdf, else the viewer's (O-26)."""
-    return F.when(F.lower(ext) == "pdf", url).otherwise(F.concat(F.lit(VIEWER), percent_encoded(url, r"A-Za-z0-9\-_.!~*'()")))
+    return F.when(F.lower(ext) == "pdf", url).otherwise(F.concat(F.lit(VIEWER), percent_encoded(url, PART_KEPT)))
 
 
 def opens(url: Column) -> Column:
@@ -158,10 +162,16 @@ def evidence(passages: Column, snippet: Column, terms: Column) -> Column:
     return F.when(F.size(hit) > 0, hit).otherwise(F.array(F.substring(passage_body(snippet), 1, 200)))
 
 
+#: Names of each sort order (fixed values).
+SORTS = {"relevance": ("relevance", "relevans", "score"), "code": ("code", "kod", "form"), "title": ("title", "ad", "isim", "name")}
+
+
 def sort_name(name: Column) -> Column:
     """relevance, code or title from a name or alias, else null (O-32)."""
-    n = F.lower(F.trim(name))
-    return F.when(n.isin("relevance", "relevans", "score"), "relevance").when(n.isin("code", "kod", "form"), "code").when(n.isin("title", "ad", "isim", "name"), "title")
+    n, out = F.lower(F.trim(name)), F.lit(None).cast("string")
+    for order, names in SORTS.items():
+        out = F.when(n.isin(*names), order).otherwise(out)
+    return out
 
 
 def results_title(query: Column, n: Column) -> Column:

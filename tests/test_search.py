@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brevia.operators import fusion
 
+# A small corpus whose scores are known.
 DOCS = [(0, "FR-0083.tr", "FR-0083", "tr", "Danışman Değişikliği Formu"), (1, "FR-0336.tr", "FR-0336", "tr", "Staj Belgesi"), (2, "FR-0083.en", "FR-0083", "en", "Advisor Change Form")]
 CHUNKS = [(0, 0, 0, "Danışman Değişikliği Formu tez danışmanı", [1.0, 0.0, 0.0]), (1, 1, 0, "Staj Belgesi zorunlu staj işletme", [0.0, 1.0, 0.0]), (2, 2, 0, "Advisor Change Form thesis", [0.0, 0.0, 1.0])]
 
