@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from brevia.operators import dense, lexical
+from brevia.operators import dense, fusion, lexical
 
 
 def nodes(df):
@@ -25,3 +25,23 @@ def test_tasks_cut_their_own_lists(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("unit"), F.col("embedding").alias("vec"))
     for df in (lexical.ranked(f, lexical.query_terms(asked)), dense.dense_ranked(vectors, vectors.where("unit % 20 = 0").withColumnRenamed("unit", "qid"))):
         assert nodes(df) == {"split": 0, "scan": 1, "exchange": 1, "limit": 2}
+
+
+def test_copies_of_a_code_do_not_meet_the_needles(spark):
+    docs = spark.range(2000).selectExpr("id as doc", "concat('FR-0001.', id) as id", "'FR-0001' as code", "if(id % 3 = 1, 'tr', 'en') as lang")
+    found = fusion.resolve(docs, docs.selectExpr("concat('FR-0001 x', id) as needle").unionByName(docs.selectExpr("id as needle")))
+    rows = found.collect()
+    assert len(rows) == 4000 and all(r.doc == (1 if " " in r.needle else int(r.needle[8:])) for r in rows)
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 2 * 4000
+
+
+def joined_rows(plan):
+    """Rows that the joins of a plan that has run gave, together."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return joined_rows(plan.plan())
+    children = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in name else 0
+    return own + sum(joined_rows(children.apply(k)) for k in range(children.size()))
