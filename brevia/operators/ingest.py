@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +93,9 @@ def report_rows(rows: DataFrame) -> DataFrame:
     return rows.select("url", "name", F.explode(found).alias("x")).select("x.list", "url", "name", "x.reason")
 
 
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def composed(text):
-    """Unicode normal form C, which Spark has no function for."""
-    return F.pandas_udf(_composed, "string")(text)
+    """Unicode normal form C: Spark has no function for it, but calls that of the ICU library that it brings."""
+    return F.when(text.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False)))
 
 
 def clean_text(text):

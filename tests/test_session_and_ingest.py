@@ -1,5 +1,7 @@
 """Session log, saved set, streaming twin, ingest."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from brevia.operators import ingest, session
@@ -92,3 +94,10 @@ def test_revisions(spark):
 def test_clean_text(spark):
     (row,) = spark.createDataFrame([("a\xa0 b\r\n\n \n c é ",)], "t string").select(ingest.clean_text(F.col("t"))).collect()
     assert row[0] == "a b\nc \xe9"
+
+
+def test_composed_without_python(spark):
+    texts = ["é", "각", "क़", "Å ﬁ", "ạ̇", "\U0001d15e", "", None]
+    out = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", ingest.composed(F.col("t")).alias("c"))
+    assert [r.c for r in out.orderBy("k").collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
