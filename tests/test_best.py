@@ -1,11 +1,13 @@
 """What tasks keep of each query's best, against sorting everything."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brevia.operators import best, lexical
+from brevia.operators import best, chunking, lexical
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -45,3 +47,12 @@ def test_ranked_is_the_top_of_bm25(spark, monkeypatch, block):
     every = lexical.top(lexical.bm25(f, terms).where("score > 0"), 5).select("qid", "unit", F.round("score", 8).alias("s"), "rank").collect()
     assert sorted(some) == sorted(every) and len(some) > 30
     assert lexical.ranked(f, terms.where("qid = 11"), 5).count() == 0
+
+
+def test_passages_leave_in_small_batches():
+    texts = ["x" * 20_000 + str(k) for k in range(400)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array(["T"] * 401), pa.array(texts)], names=["doc", "title", "body"])
+    out = list(chunking.cut(iter([batch, batch])))
+    assert max(b.nbytes for b in out) < 2 * chunking.CHARS
+    got = [(r["doc"], r["ord"], r["text"]) for b in out for r in b.to_pylist()]
+    assert got == 2 * [(k, n, p) for k, t in enumerate(texts) for n, p in enumerate(chunking.passages("T", t or ""))]
