@@ -49,6 +49,16 @@ def test_ranked_is_the_top_of_bm25(spark, monkeypatch, block):
     assert lexical.ranked(f, terms.where("qid = 11"), 5).count() == 0
 
 
+def test_tasks_take_few_texts_at_once():
+    texts = ["a b " * 40_000, "", "b"] + ["a c"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([len(t.split()) for t in texts], pa.int32()), pa.array([" ".join(t.split()) for t in texts])], names=["unit", "len", "words"])
+    whole = pa.Table.from_batches([batch] * 8).combine_chunks().to_batches()[0]
+    parts = list(lexical._slices(whole))
+    assert sum(p.num_rows for p in parts) == whole.num_rows and max(sum(p.column("len").to_pylist()) for p in parts) <= lexical.TOKENS
+    row, term, tf = lexical._postings(batch, pa.array(["b", "c"]))
+    assert list(zip(row.tolist(), term.tolist(), tf.tolist())) == [(0, 0, 40_000), (2, 0, 1)] + [(k, 1, 1) for k in range(3, 303)]
+
+
 def test_passages_leave_in_small_batches():
     texts = ["x" * 20_000 + str(k) for k in range(400)] + [None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(401)), pa.array(["T"] * 401), pa.array(texts)], names=["doc", "title", "body"])
@@ -56,3 +66,17 @@ def test_passages_leave_in_small_batches():
     assert max(b.nbytes for b in out) < 2 * chunking.CHARS
     got = [(r["doc"], r["ord"], r["text"]) for b in out for r in b.to_pylist()]
     assert got == 2 * [(k, n, p) for k, t in enumerate(texts) for n, p in enumerate(chunking.passages("T", t or ""))]
+
+
+@pytest.mark.parametrize("common", [1, 3, 99])
+def test_common_and_rare_terms_give_the_same_scores(monkeypatch, common):
+    monkeypatch.setattr(lexical, "COMMON", common)
+    rnd = random.Random(6)
+    asked = [(f"t{t}", q, rnd.random()) for q in range(9) for t in range(12) if rnd.random() < (0.9 if t < 3 else 0.2)]
+    w = lexical._Weights(pa.table({"term": [a[0] for a in asked], "qid": [a[1] for a in asked], "w": [a[2] for a in asked]}))
+    row, term, value = (np.array(x) for x in zip(*[(r, t, rnd.random()) for r in range(5) for t in range(len(w.vocabulary)) if rnd.random() < 0.5]))
+    expected = np.zeros((len(w.qids), 5))
+    for t, q, x in asked:
+        at = term == w.vocabulary.to_pylist().index(t)
+        np.add.at(expected[w.qids.to_pylist().index(q)], row[at], x * value[at])
+    assert np.allclose(w.scores(row, term, value, 5), expected, atol=1e-12)

@@ -35,6 +35,14 @@ def test_copies_of_a_code_do_not_meet_the_needles(spark):
     assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 2 * 4000
 
 
+def test_coverage_of_wanted_pairs_meets_no_others(spark):
+    f = lexical.field(spark.range(1000).selectExpr("id", "concat('the of w', id) as title"), "id", "title", keep=True)
+    terms = lexical.query_terms(spark.range(50).selectExpr("id as qid", "concat('the of w', id, ' gone') as query"))
+    found = lexical.coverage(f, terms, spark.range(50).selectExpr("id as qid", "id + id % 2 as unit"))
+    assert {(r.qid, r.unit): round(r.coverage, 6) for r in found.collect()} == {(k, k + k % 2): 0.666667 if k % 2 else 1.0 for k in range(50)}
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 3 * 50
+
+
 def joined_rows(plan):
     """Rows that the joins of a plan that has run gave, together."""
     name = plan.nodeName()
